@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm import sharding, simhash
+from forkline.llm import sentencepiece_tok, sharding, simhash, substring_dedup, token_files
 from forkline.llm.common import table
 
 N_SHARDS = 24
@@ -18,6 +19,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = token_files.write_files(spark, table(spark, sf_dir, "documents"), path, vocabulary=49_408, end_id=1)
+    return token_files.read_files(spark, files)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_tok.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup(spark, table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.length("kept").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -25,6 +41,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_token_files": op3_token_files,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
