@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm import sentencepiece_tok, sharding, simhash, substring_dedup, token_files
+from forkline.llm import embedding_dedup, secrets, sentencepiece_tok, sharding, simhash, substring_dedup, token_files
 from forkline.llm.common import table
 
 N_SHARDS = 24
@@ -34,17 +34,30 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.length("kept").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("component", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_token_files": op3_token_files,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 #: DuckDB twins, where SQL can express the operator on whole tables.
