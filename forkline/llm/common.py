@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,27 @@ def batches(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]
             yield batch.slice(at, rows)
 
 
+class Remembered:
+    """What a worker knows of words, in two generations: when the newer is full the older goes, but
+    words in use are carried over. Memory is bounded and frequent words are never lost."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Those of ``words`` to be learned; the others are in ``new`` after the call."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        out, new, old = [], self.new, self.old
+        for w in words:
+            if w not in new:
+                if (known := old.get(w)) is None:
+                    out.append(w)
+                else:
+                    new[w] = known
+        return out
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, root): one root for all nodes that ``edges`` (src, dst: long) connect.
 
