@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm import decontamination, embedding_dedup, quality, secrets, sentencepiece_tok, sharding, simhash, substring_dedup, token_files
+from forkline.llm import decontamination, embedding_dedup, exact_substrings, quality, secrets, sentencepiece_tok, sharding, simhash, substring_dedup, token_files
 from forkline.llm.common import table
 
 N_SHARDS = 24
@@ -34,6 +34,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_tok.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = exact_substrings.dedup(spark, table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.dedup(spark, table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.length("kept").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_token_files": op3_token_files,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality": op8_quality,
