@@ -228,3 +228,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = scratch.write(rooted.join(least, "root").select("fp", "component"), "of")
     return prints.join(of, "fp").select(key, "fp", "component")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest id.
+
+    Equal rows become one; different texts under one id stand or fall with the id.
+    """
+    found = near_duplicates(spark, docs, key, text, shingle, radius)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__kept")).distinct()
+    out = docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
+    if not found.groupBy(key).count().where("count > 1").isEmpty():
+        tag = "__text"
+        out = out.withColumn(tag, F.xxhash64(text)).dropDuplicates([key, tag]).drop(tag)
+    return out

@@ -33,12 +33,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import batches, shared_dir, strings
+from forkline.llm.common import Remembered, batches, shared_dir, strings
 
 MAGIC = b"FKTOK001"
 MANIFEST = "name string, part int, n_docs long, n_tokens long"
-#: Distinct words an encoder remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct words a generation of an encoder's memory holds.
+REMEMBERED = 300_000
 
 
 class FileSet(NamedTuple):
@@ -59,13 +59,17 @@ _encoders: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of this worker, its memory of words, and its added tokens."""
+    """The tokenizer of this worker, its memory of words, its added tokens and which ids end a word."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         special = [a.content for a in t.get_added_tokens_decoder().values()]
-        _encoders[path] = (t, {}, special)
+        suffix, ends = getattr(t.model, "end_of_word_suffix", None), None
+        if suffix:
+            ends = np.zeros(t.get_vocab_size(), dtype=bool)
+            ends[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
+        _encoders[path] = (t, Remembered(REMEMBERED), special, ends)
     return _encoders[path]
 
 
@@ -76,19 +80,30 @@ def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[by
     those of its words (``str.split(' ')`` and line ends) in turn; each distinct word is encoded
     once. Texts with an added token's string are encoded whole.
     """
-    t, known, special = _tokenizer(path)
+    t, known, special, ends = _tokenizer(path)
     pack = lambda ids: np.array(ids, dtype=item).tobytes()
     if not split:
         return [pack(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    if len(known) > REMEMBERED:
-        known.clear()
     words = [None if any(s in x for s in special) else x.replace("\n", " ").split(" ") for x in texts]
-    new = list({w for ws in words if ws is not None for w in ws if w not in known})
-    for at in range(0, len(new), 20_000):
-        piece = new[at : at + 20_000]
+    new = known.missing({w for ws in words if ws is not None for w in ws})
+    memory = known.new
+    # words of a-z alone give one piece each, which ends with a word-end token: many go as one text
+    plain = [w for w in new if w.isascii() and w.isalpha()] if ends is not None else []
+    for at in range(0, len(plain), 20_000):
+        piece = plain[at : at + 20_000]
+        rows = [" ".join(piece[i : i + 500]) for i in range(0, len(piece), 500)]
+        ids = np.concatenate([np.array(e.ids, dtype=item) for e in t.encode_batch_fast(rows, add_special_tokens=False)])
+        cuts = np.flatnonzero(ends[ids]) + 1
+        raw, size = ids.tobytes(), ids.itemsize
+        begins = [0, *(cuts[:-1] * size).tolist()]
+        for w, a, b in zip(piece, begins, (cuts * size).tolist(), strict=True):
+            memory[w] = raw[a:b]
+    rest = [w for w in new if w not in memory] if plain else new
+    for at in range(0, len(rest), 20_000):
+        piece = rest[at : at + 20_000]
         for w, e in zip(piece, t.encode_batch_fast(piece, add_special_tokens=False), strict=True):
-            known[w] = pack(e.ids)
-    get = known.__getitem__
+            memory[w] = pack(e.ids)
+    get = memory.__getitem__
     return [pack(t.encode(x, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words, strict=True)]
 
 
