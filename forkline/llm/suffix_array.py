@@ -33,38 +33,92 @@ def suffix_array(codes: np.ndarray) -> list[int]:
     size = np.bincount(group_of, minlength=n).tolist()
     prev = [-1] * n
 
+    def lift_one(p: int) -> None:
+        g = group[p]
+        left = size[g] - 1
+        if left:
+            to = g + left
+            here, other = at[p], sa[to]
+            sa[here], sa[to], at[other], at[p] = other, p, here, to
+            group[p] = to
+            size[g], size[to] = left, 1
+
     end = n - 1
     while end > 0:
-        start = group[sa[end]]
+        i = sa[end]
+        start = group[i]
+        if start == end:  # a group of one, the most frequent case
+            p = i - 1
+            while p >= 0 and group[p] >= start:
+                p = prev[p]
+            prev[i] = p
+            if p >= 0:
+                lift_one(p)
+            end = start - 1
+            continue
+        if start + 1 == end:  # a group of two, as copies make them
+            j = sa[start]
+            if j < i:
+                i, j = j, i
+            p = i - 1
+            while p >= 0 and group[p] >= start:
+                p = prev[p]
+            prev[i] = p
+            q = j - 1
+            while q >= 0 and group[q] >= start:
+                q = prev[q]
+            prev[j] = q
+            if p == q:
+                if p >= 0:
+                    lift_one(p)
+            elif p < 0:
+                lift_one(q)
+            elif group[p] != group[q]:
+                lift_one(p)
+                lift_one(q)
+            else:
+                g = group[p]
+                left = size[g] - 2
+                if left:
+                    to = g + left
+                    here, other = at[p], sa[to]
+                    sa[here], sa[to], at[other], at[p] = other, p, here, to
+                    here, other = at[q], sa[to + 1]
+                    sa[here], sa[to + 1], at[other], at[q] = other, q, here, to + 1
+                    size[g], size[to] = left, 2
+                    group[p] = group[q] = to
+            end = start - 1
+            continue
         pointed: dict[int, int] = {}
-        for i in sorted(sa[start : end + 1]) if end > start else (sa[end],):
+        for i in sorted(sa[start : end + 1]):
             p = i - 1
             while p >= 0 and group[p] >= start:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
                 pointed[p] = pointed.get(p, 0) + 1
-        if len(pointed) == 1:
-            ((p, _),) = pointed.items()
-            _lift((p,), sa, at, group, size)
-        elif pointed:
-            levels: dict[int, list[int]] = {}
-            for p, k in pointed.items():
-                levels.setdefault(k, []).append(p)
-            for k in sorted(levels, reverse=True) if len(levels) > 1 else levels:
-                _lift(levels[k], sa, at, group, size)
+        if pointed:
+            counts = set(pointed.values())
+            if len(counts) == 1:
+                _lift(pointed, sa, at, group, size)
+            else:
+                for k in sorted(counts, reverse=True):
+                    _lift([p for p, c in pointed.items() if c == k], sa, at, group, size)
         end = start - 1
 
     free = list(range(n))  # next place of a group, at its start
-    out, placed = [0] * n, [False] * n
-    out[0], placed[n - 1] = n - 1, True
+    out = [0] * n
+    out[0], group[n - 1] = n - 1, -1  # -1: placed
     for i in range(n):
         j = out[i] - 1
-        while j >= 0 and not placed[j]:
+        while j >= 0:
             g = group[j]
-            out[free[g]] = j
-            free[g] += 1
-            placed[j] = True
+            if g < 0:
+                break
+            group[j] = -1
+            to = free[g]
+            free[g] = to + 1
+            out[to] = j
             j = prev[j]
     return out[1:]
 
