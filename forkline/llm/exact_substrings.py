@@ -3,20 +3,23 @@
 Every text is its UTF-8 bytes; matches never cross documents. A window is a start with ``length``
 bytes after it in its document.
 
-1. Anchors. A window's anchor is its 24-byte gram of least hash (the first of equals): equal
+1. Anchors. A window's anchor is its 40-byte gram of least hash (the first of equals): equal
    windows have equal anchors at equal offsets. Neighbouring windows share an anchor, so a document
-   is a list of runs: (gram hash, 128-bit hash of the run's bytes, place, windows).
+   is a list of runs: (gram hash, hash of the run's bytes, place, windows); two runs are equal if
+   both 64-bit hashes are.
 2. Only runs whose gram occurs twice or more can hold a repeated window (a grouped count with
    partial aggregation, then a join that adaptive execution can split).
 3. Runs of equal bytes are one segment, kept by its first place: all windows of its other places
    are repeats. So any number of copies costs one segment from here on.
 4. Segments that share a gram but differ (where copies begin, end or were edited) get their
    bytes back from the documents and are sorted: whole groups are packed into blocks, each block
-   becomes a suffix array (``suffix_array``: linear grouping of Lyndon prefixes), suffixes that
-   agree in ``length`` bytes are neighbours there, and of each such class all but the first place
-   are repeats. A gram with more than ``LARGE`` different segments (a phrase in ever new
-   surroundings) is no block of one task: its windows are counted by 128-bit hash instead, again
-   with partial aggregation, so nothing is capped.
+   becomes a suffix array (``suffix_array``: linear grouping of Lyndon prefixes; the gram, which
+   all windows of a segment hold, is one letter), suffixes that agree over a window are neighbours
+   there, and of each such class all but the first place are repeats. A gram with more than
+   ``LARGE`` different segments (a phrase in ever new surroundings) is first dealt out anew: each
+   segment is cut into parts of ``PART`` windows, and only parts that share the bytes common to
+   their windows stay together. Parts still in groups beyond ``LARGE`` are no block of one task:
+   their windows are counted by 128-bit hash, with partial aggregation, so nothing is capped.
 5. The repeats' ranges meet the texts once, by document.
 
 Cases: a null text is empty; a text shorter than ``length`` keeps every byte; a null id counts as
@@ -38,22 +41,26 @@ from pyspark.sql import functions as F
 from forkline.llm.common import Scratch, batches
 from forkline.llm.suffix_array import suffix_array
 
-GRAM = 24
+GRAM = 40
 #: Bytes packed into a block before it is sorted; a group is never cut.
 BLOCK = 24_000
-#: Different segments of one gram that a block may hold.
+#: Different segments of one group that a block may hold.
 LARGE = 1_000
+#: Windows of a part, where a group beyond that is dealt out anew.
+PART = 8
 NO_ID = -(2**63)
 _BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from every position on (polynomials, doubled)."""
-    h, step, factor = _BYTE[raw], 1, 0x9E3779B97F4A7C15
-    for _ in range(3):  # 2, 4, 8 bytes
+    """Hash of the GRAM = 32 + 8 bytes from every position on (polynomials, doubled)."""
+    h, step, factor, eight = _BYTE[raw], 1, 0x9E3779B97F4A7C15, None
+    while step < 32:
         h = h[:-step] * np.uint64(factor) + h[step:]
         step, factor = 2 * step, factor * factor % 2**64
-    h = (h[:-16] * np.uint64(factor) + h[8:-8]) * np.uint64(factor) + h[16:]
+        if step == 8:
+            eight, by = h, factor
+    h = h[:-8] * np.uint64(by) + eight[32:]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -80,11 +87,11 @@ def anchors(raw: np.ndarray, length: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, windows, anchor less first start, gram hash, hash, hash) of all runs."""
+    """(text, first start, windows, anchor less first start, gram hash, hash) of all runs."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     whole = b"".join(texts)
     raw = np.frombuffer(whole, dtype=np.uint8)
-    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(7))
+    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     if len(raw) < length:
         return none
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -102,11 +109,10 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(at)))
     start, which, anchor = at[begin], text[begin], place_at[begin]
-    digest, view = xxhash.xxh3_128_digest, memoryview(whole)
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(whole)
     ends = (start + count + (length - 1)).tolist()
-    both = b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), ends, strict=True)])
-    h = np.frombuffer(both, dtype="<i8").reshape(-1, 2)
-    return which, start - first[which], count, anchor - start, grams[anchor].view(np.int64), h[:, 0], h[:, 1]
+    h = np.array([digest(view[a:b]) for a, b in zip(start.tolist(), ends, strict=True)], dtype=np.uint64)
+    return which, start - first[which], count, anchor - start, grams[anchor].view(np.int64), h.view(np.int64)
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -126,19 +132,23 @@ def chunks(it: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterat
                 yield b.slice(x, y - x)
 
 
-def block_repeats(segments: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """Repeated windows (id, first start, windows) among segments (id, start, windows, bytes)."""
-    sizes = [len(s[3]) + 1 for s in segments]
+def block_repeats(segments: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """Repeated windows (id, first start, windows) among segments (id, start, windows, anchor, bytes)."""
+    letters: dict[bytes, int] = {}
+    parts = []
+    for _, _, _, rel, raw in segments:
+        letter = letters.setdefault(raw[rel : rel + GRAM], 257 + len(letters))
+        parts += [np.frombuffer(raw, np.uint8, rel).astype(np.int64) + 1, [letter], np.frombuffer(raw, np.uint8, offset=rel + GRAM).astype(np.int64) + 1, [0]]
+    codes = np.concatenate(parts)
+    sizes = np.array([len(s[4]) - GRAM + 2 for s in segments])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    codes = np.frombuffer(b"\0".join(s[3] for s in segments) + b"\0", dtype=np.uint8).astype(np.int64) + 1
-    codes[first + np.array(sizes) - 1] = 0
     windows = np.array([s[2] for s in segments], dtype=np.int64)
     owner = np.full(len(codes), -1, dtype=np.int64)
     for k, (f, w) in enumerate(zip(first.tolist(), windows.tolist(), strict=True)):
         owner[f : f + w] = k
     order = np.array(suffix_array(codes), dtype=np.int64)
     order = order[owner[order] >= 0]
-    raw = np.lib.stride_tricks.sliding_window_view(codes.astype(np.uint16), length)
+    raw = np.lib.stride_tricks.sliding_window_view(codes.astype(np.int32), length - GRAM + 1)
     same = np.zeros(len(order), dtype=bool)
     for at in range(1, len(order), 8192):
         to = min(at + 8192, len(order))
@@ -172,54 +182,78 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(it, 1):
-            which, start, n, rel, gram, h1, h2 = runs_of(encoded(b.column(1)), length)
+            which, start, n, rel, gram, h = runs_of(encoded(b.column(1)), length)
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h1), pa.array(h2), pa.array(ids[which]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(rel.astype(np.int32))], names=["gram", "h1", "h2", "id", "at", "n", "rel"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h), pa.array(ids[which]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["gram", "h", "id", "at", "n", "rel"])
 
-    runs = scratch.write(docs.mapInArrow(cut, "gram long, h1 long, h2 long, id long, at int, n int, rel int"), "runs")
+    runs = scratch.write(docs.mapInArrow(cut, "gram long, h long, id long, at int, n short, rel short"), "runs")
     often = runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     shared = scratch.write(runs.join(often, "gram"), "shared")
     scratch.drop("runs")
-    same = ["gram", "h1", "h2", "rel"]
+    same = ["gram", "h", "rel"]
     segments = scratch.write(shared.groupBy(*same).agg(F.min(F.struct("id", "at", "n")).alias("first"), F.count("*").alias("places")), "segments")
     mixed = segments.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     copies = shared.join(segments.where("places > 1").select(*same, F.col("first.id").alias("id0"), F.col("first.at").alias("at0")), same)
-    copies = copies.where("id <> id0 or at <> at0").select("id", "at", "n")
+    copies = copies.where("id <> id0 or at <> at0").select("id", "at", F.col("n").cast("int").alias("n"))
 
-    wanted = segments.join(mixed, "gram").select(F.col("first.id").alias("id"), F.struct("gram", "k", F.col("first.at").alias("at"), F.col("first.n").alias("n")).alias("s"))
+    wanted = segments.join(mixed, "gram").select(F.col("first.id").alias("id"), F.struct("gram", "k", F.col("first.at").alias("at"), F.col("first.n").cast("int").alias("n"), F.col("rel").cast("int").alias("rel")).alias("s"))
     wanted = wanted.groupBy("id").agg(F.collect_list("s").alias("s"))  # at most a document's runs
+    body = ["id", "at", "n", "rel", "bytes"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    columns_of = "id long, at int, n int, rel int, bytes binary"
+
+    def rows(got: list[tuple], lead: list[str], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*got, strict=True)) or [()] * (len(lead) + len(names))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * len(lead) + types, strict=True)], names=lead + names)
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 200):
             out = []
             for i, t, segs in zip(b.column(0).to_pylist(), encoded(b.column(1)), b.column(2).to_pylist(), strict=True):
-                out += [(s["gram"], s["k"], i, s["at"], s["n"], t[s["at"] : s["at"] + s["n"] + length - 1]) for s in segs]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "k", "id", "at", "n", "bytes"])
-
-    bodies = scratch.write(docs.join(wanted, "id").select("id", "text", "s").mapInArrow(fetch, "gram long, k long, id long, at int, n int, bytes binary"), "bodies")
+                out += [(s["gram"], s["k"], i, s["at"], s["n"], s["rel"], t[s["at"] : s["at"] + s["n"] + length - 1]) for s in segs]
+            yield rows(out, ["gram", "k"], body, kinds)
 
-    def ranges(got: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*got, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["id", "at", "n"])
+    bodies = scratch.write(docs.join(wanted, "id").select("id", "text", "s").mapInArrow(fetch, f"gram long, k long, {columns_of}"), "bodies")
 
     def sort(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, group, held, last = [], [], 0, None
+        out = lambda b: rows(block_repeats(b, length), [], ["id", "at", "n"], kinds[:3])
         for b in it:
-            for gram, i, at, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if gram != last:
-                    block, group, last = block + group, [], gram
+            keys, segs = b.column(0).to_pylist(), zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)
+            for key, seg in zip(keys, segs, strict=True):
+                if key != last:
+                    block, group, last = block + group, [], key
                     if held >= BLOCK:
-                        yield ranges(block_repeats(block, length))
+                        yield out(block)
                         block, held = [], 0
-                group.append((i, at, n, raw))
-                held += len(raw)
+                group.append(seg)
+                held += len(seg[4]) - GRAM
         if block or group:
-            yield ranges(block_repeats(block + group, length))
+            yield out(block + group)
+
+    def sorted_repeats(d: DataFrame, key: str) -> DataFrame:
+        return d.repartition(key).sortWithinPartitions(key).select(key, *body).mapInArrow(sort, "id long, at int, n int")
 
-    few = bodies.where(F.col("k") <= LARGE).repartition("gram").sortWithinPartitions("gram").select("gram", "id", "at", "n", "bytes")
-    sorted_out = few.mapInArrow(sort, "id long, at int, n int")
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches(it, 500):
+            out = []
+            for i, at, n, rel, raw in zip(*(b.column(c).to_pylist() for c in body), strict=True):
+                for part in range((rel - n + 1) // PART, rel // PART + 1):  # by the anchor's offset in the window
+                    low, high = PART * part, PART * part + PART - 1
+                    x, y = max(0, rel - high), min(n - 1, rel - low)
+                    core = raw[rel - low : rel - high + length]  # in every window with these offsets
+                    out.append((digest(core, part) - 2**63, i, at + x, y - x + 1, rel - x, raw[x : y + length]))
+            yield rows(out, ["core"], body, kinds)
+
+    large = bodies.where(F.col("k") > LARGE)
+    found = copies.unionAll(sorted_repeats(bodies.where(F.col("k") <= LARGE), "gram"))
+    if large.isEmpty():
+        return found
+    parts = scratch.write(large.mapInArrow(deal, f"core long, {columns_of}"), "parts")
+    sizes = parts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+    again = scratch.write(parts.join(sizes, "core"), "again")
+    scratch.drop("parts")
 
     def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -232,10 +266,10 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int)
             h = np.frombuffer(b"".join(raws), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["w1", "w2", "id", "at"])
 
-    many = scratch.write(bodies.where(F.col("k") > LARGE).mapInArrow(explode, "w1 long, w2 long, id long, at int"), "windows")
+    many = scratch.write(again.where(F.col("k") > LARGE).mapInArrow(explode, "w1 long, w2 long, id long, at int"), "windows")
     lead = many.groupBy("w1", "w2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
     counted = many.join(lead, ["w1", "w2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first"))).select("id", "at", F.lit(1).alias("n"))
-    return copies.unionAll(sorted_out).unionAll(counted)
+    return found.unionAll(sorted_repeats(again.where(F.col("k") <= LARGE), "core")).unionAll(counted)
 
 
 def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
