@@ -73,9 +73,12 @@ class Remembered:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def missing(self, words: Iterable[str]) -> list[str]:
-        """Those of ``words`` to be learned; the others are in ``new`` after the call."""
-        if len(self.new) > self.limit:
+    def missing(self, words: Iterable[str], turn: bool = True) -> list[str]:
+        """Those of ``words`` to be learned; the others are in ``new`` after the call.
+
+        ``turn``: a new generation may begin, which a second call for the same texts mustn't.
+        """
+        if turn and len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         out, new, old = [], self.new, self.old
         for w in words:

@@ -22,6 +22,7 @@ set; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ from forkline.llm.common import Remembered, batches, shared_dir, strings
 MAGIC = b"FKTOK001"
 MANIFEST = "name string, part int, n_docs long, n_tokens long"
 #: Distinct words a generation of an encoder's memory holds.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 class FileSet(NamedTuple):
@@ -55,6 +56,7 @@ class FileSet(NamedTuple):
         return sum(m["n_tokens"] for m in self.manifest)
 
 
+_MARKED = re.compile(r"([A-Za-z]+)([^A-Za-z0-9\s\x00-\x20\x7f]*)$")
 _encoders: dict[str, tuple] = {}
 
 
@@ -87,6 +89,16 @@ def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[by
     words = [None if any(s in x for s in special) else x.replace("\n", " ").split(" ") for x in texts]
     new = known.missing({w for ws in words if ws is not None for w in ws})
     memory = known.new
+    # an ASCII word with marks behind it gives the pieces of the lower-case word, then those of the marks
+    made = []
+    if ends is not None:
+        for w in new:
+            if w.isascii() and (m := _MARKED.match(w)) and (m[2] or not w.islower()):
+                made.append((w, m[1].lower(), m[2]))
+        taken = {w for w, _, _ in made}
+        parts = {p for _, a, b in made for p in (a, b) if p}
+        new = [w for w in new if w not in taken]
+        new += known.missing(parts.difference(new), turn=False)
     # words of a-z alone give one piece each, which ends with a word-end token: many go as one text
     plain = [w for w in new if w.isascii() and w.isalpha()] if ends is not None else []
     for at in range(0, len(plain), 20_000):
@@ -103,6 +115,8 @@ def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[by
         piece = rest[at : at + 20_000]
         for w, e in zip(piece, t.encode_batch_fast(piece, add_special_tokens=False), strict=True):
             memory[w] = pack(e.ids)
+    for w, a, b in made:
+        memory[w] = memory[a] + memory[b] if b else memory[a]
     get = memory.__getitem__
     return [pack(t.encode(x, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words, strict=True)]
 
