@@ -1,11 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!``, ``?`` and their closing marks before white
-space, and at line ends). From every sentence on, the shortest run of at least ``min_sentences``
-sentences with at least ``min_words`` words is one span; its 128-bit hash is taken over its words.
-A run depends on what follows its first sentence only, so equal passages have equal spans. Spans
-are counted globally; the first place of a span (smallest id, then position) keeps it, and every
-sentence covered by any later place is removed.
+space, and at line ends). Every run of at least ``min_sentences`` sentences with at least
+``min_words`` words counts: the first place of a run (smallest id, then position) keeps it, and every
+sentence covered by any later place is removed. Only the shortest run from each start and the
+shortest to each end are spans, with 128-bit hashes of their words: they cover the same sentences
+as all runs do (see ``spans``), with at most two hashes a sentence.
 
 Only hashes and places are shuffled for the search: a grouped minimum with partial aggregation
 finds the repeated spans, and a join that adaptive execution can split finds their places, so a
@@ -47,17 +47,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def spans(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, hash) of every run."""
+    """(first sentence, number of sentences, hash) of the runs that stand for every run.
+
+    They are the shortest run from each start and the shortest run to each end. Each sentence of a
+    longer run lies in one of these within it: where the run from the sentence on is too short, the
+    shortest one to the run's end begins before it.
+    """
     words = [text[a:b].split() for a, b in sentences(text)]
     counts = np.array([len(w) for w in words], dtype=np.int64)
     before = np.concatenate([[0], np.cumsum(counts)])
     flat = [" ".join(w) for w in words]
-    out = []
-    ends = np.searchsorted(before, before[:-1] + min_words, side="left")
-    for i, end in enumerate(np.maximum(ends, np.arange(len(words)) + min_sentences).tolist()):
-        if end <= len(words) and words[i]:
-            out.append((i, end - i, xxhash.xxh3_128_digest("\n".join(flat[i:end]))))
-    return out
+    at, n = np.arange(len(words)), len(words)
+    ends = np.maximum(np.searchsorted(before, before[:-1] + min_words, side="left"), at + min_sentences)
+    starts = np.minimum(np.searchsorted(before, before[1:] - min_words, side="right") - 1, at + 1 - min_sentences)
+    runs = {(i, e) for i, e in enumerate(ends.tolist()) if e <= n} | {(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0}
+    return [(i, e - i, xxhash.xxh3_128_digest("\n".join(flat[i:e]))) for i, e in sorted(runs) if words[i]]
 
 
 def find_spans(docs: DataFrame, min_sentences: int, min_words: int, key: str, text: str) -> DataFrame:
@@ -108,20 +112,21 @@ def dedup(spark: SparkSession, docs: DataFrame, min_sentences: int = 2, min_word
 
 
 def brute_force(texts: dict[int, str], min_sentences: int, min_words: int) -> dict[int, str]:
-    """What ``dedup`` keeps, by plain dictionaries; for tests."""
-    first: dict[str, tuple[int, int]] = {}
+    """What ``dedup`` keeps, from every run of every text, by plain dictionaries; for tests."""
+    runs: dict[tuple[int, str], int] = {}  # (number of the run without its last sentence, that sentence)
+    first: dict[int, tuple[int, int]] = {}
     gone: dict[int, set[int]] = {i: set() for i in texts}
     for i in sorted(texts):
         words = [texts[i][a:b].split() for a, b in sentences(texts[i])]
         for at in range(len(words)):
-            end = at
-            while end < len(words) and (end - at < min_sentences or sum(map(len, words[at:end])) < min_words):
-                end += 1
-            run = words[at:end]
-            if words[at] and len(run) >= min_sentences and sum(map(len, run)) >= min_words:
-                where = first.setdefault(repr(run), (i, at))
-                if where != (i, at):
-                    gone[i].update(range(at, end))
+            run = n_words = 0
+            for end in range(at + 1, len(words) + 1):
+                run = runs.setdefault((run, repr(words[end - 1])), len(runs) + 1)
+                n_words += len(words[end - 1])
+                if words[at] and end - at >= min_sentences and n_words >= min_words:
+                    where = first.setdefault(run, (i, at))
+                    if where != (i, at):
+                        gone[i].update(range(at, end))
     return {i: "".join(x[a:b] for n, (a, b) in enumerate(sentences(x)) if n not in gone[i]) for i, x in texts.items()}
 
 

@@ -216,6 +216,14 @@ def test_substring_dedup(spark, docs, empty):
     assert "".join(x[a:b] for x in [texts()[18]] for a, b in substring_dedup.sentences(x)) == texts()[18]
 
 
+def test_substring_dedup_reaches_the_end_of_a_passage(spark):
+    shared = prose(3, 45) + " Short end here. And more."
+    t = {0: prose(1, 45) + " " + shared, 1: shared, 2: prose(2, 45) + " " + shared + " " + prose(4, 45)}
+    d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in substring_dedup.dedup(spark, d).collect()}
+    assert got == {0: t[0], 1: "", 2: prose(2, 45) + " " + prose(4, 45)} == substring_dedup.brute_force(t, 2, 20)
+
+
 # 7
 def base_spans(x: str) -> str:
     out = []
