@@ -3,18 +3,19 @@
 A text is cut into sentences (after ``.``, ``!``, ``?`` and their closing marks before white
 space, and at line ends). Every run of at least ``min_sentences`` sentences with at least
 ``min_words`` words counts: the first place of a run (smallest id, then position) keeps it, and every
-sentence covered by any later place is removed. Only the shortest run from each start and the
-shortest to each end are spans, with 128-bit hashes of their words: they cover the same sentences
-as all runs do (see ``spans``), with at most two hashes a sentence.
+sentence covered by any later place is removed. So does a single sentence of at least ``LONG_WORDS``
+words; a text that holds none of these counts as a whole, against other whole texts. Only the
+shortest run from each start and the shortest to each end are spans, with 128-bit hashes of their
+words: they cover the same sentences as all runs do (see ``spans``), with at most two a sentence.
 
 Only hashes and places are shuffled for the search: a grouped minimum with partial aggregation
 finds the repeated spans, and a join that adaptive execution can split finds their places, so a
 passage that a third of all documents share is no task's burden. The texts meet the sentences to
 remove once, by document.
 
-Cases: a null or empty text has no sentence and stays as it is; a text shorter than a span has no
-span; repeated rows with one id keep what the first place keeps, as their places are equal (no
-row is taken for a copy of itself); an empty table gives an empty result; other columns are ignored.
+Cases: a null or empty text has no sentence and stays as it is, as does one without words; repeated rows with one id keep what the first place keeps, as their
+places are equal (no row is taken for a copy of itself); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from forkline.llm.common import Scratch, batches, strings
 
+#: Words that make a single sentence a span.
+LONG_WORDS = 50
 _END = re.compile(r"(?:[.!?…。！？]+[\"'”’)\]]*(?=\s)|\n)\s*")
 
 
@@ -46,12 +49,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
+def spans(text: str, min_sentences: int, min_words: int, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, hash) of the runs that stand for every run.
 
     They are the shortest run from each start and the shortest run to each end. Each sentence of a
     longer run lies in one of these within it: where the run from the sentence on is too short, the
-    shortest one to the run's end begins before it.
+    shortest one to the run's end begins before it. A sentence of ``long_words`` is a span of its own,
+    and a text without any is one as a whole, which equals no part of a text.
     """
     words = [text[a:b].split() for a, b in sentences(text)]
     counts = np.array([len(w) for w in words], dtype=np.int64)
@@ -61,7 +65,11 @@ def spans(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int,
     ends = np.maximum(np.searchsorted(before, before[:-1] + min_words, side="left"), at + min_sentences)
     starts = np.minimum(np.searchsorted(before, before[1:] - min_words, side="right") - 1, at + 1 - min_sentences)
     runs = {(i, e) for i, e in enumerate(ends.tolist()) if e <= n} | {(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0}
-    return [(i, e - i, xxhash.xxh3_128_digest("\n".join(flat[i:e]))) for i, e in sorted(runs) if words[i]]
+    runs |= {(i, i + 1) for i in np.flatnonzero(counts >= long_words).tolist()}
+    out = [(i, e - i, xxhash.xxh3_128_digest("\n".join(flat[i:e]))) for i, e in sorted(runs) if words[i]]
+    if not out and before[-1]:
+        out.append((0, n, xxhash.xxh3_128_digest("\n" + "\n".join(flat))))  # no run begins with a line end
+    return out
 
 
 def find_spans(docs: DataFrame, min_sentences: int, min_words: int, key: str, text: str) -> DataFrame:
@@ -111,22 +119,26 @@ def dedup(spark: SparkSession, docs: DataFrame, min_sentences: int = 2, min_word
     return joined.mapInArrow(cut, f"{key} long, n_sentences int, removed array<int>, kept string")
 
 
-def brute_force(texts: dict[int, str], min_sentences: int, min_words: int) -> dict[int, str]:
+def brute_force(texts: dict[int, str], min_sentences: int, min_words: int, long_words: int = LONG_WORDS) -> dict[int, str]:
     """What ``dedup`` keeps, from every run of every text, by plain dictionaries; for tests."""
     runs: dict[tuple[int, str], int] = {}  # (number of the run without its last sentence, that sentence)
-    first: dict[int, tuple[int, int]] = {}
+    first: dict[int | str, tuple[int, int]] = {}
     gone: dict[int, set[int]] = {i: set() for i in texts}
     for i in sorted(texts):
         words = [texts[i][a:b].split() for a, b in sentences(texts[i])]
+        found = False
         for at in range(len(words)):
             run = n_words = 0
             for end in range(at + 1, len(words) + 1):
                 run = runs.setdefault((run, repr(words[end - 1])), len(runs) + 1)
                 n_words += len(words[end - 1])
-                if words[at] and end - at >= min_sentences and n_words >= min_words:
+                if words[at] and (n_words >= long_words if end - at == 1 else end - at >= min_sentences and n_words >= min_words):
+                    found = True
                     where = first.setdefault(run, (i, at))
                     if where != (i, at):
                         gone[i].update(range(at, end))
+        if not found and any(words) and first.setdefault(repr(words), (i, 0)) != (i, 0):
+            gone[i].update(range(len(words)))
     return {i: "".join(x[a:b] for n, (a, b) in enumerate(sentences(x)) if n not in gone[i]) for i, x in texts.items()}
 
 

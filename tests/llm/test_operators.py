@@ -224,6 +224,14 @@ def test_substring_dedup_reaches_the_end_of_a_passage(spark):
     assert got == {0: t[0], 1: "", 2: prose(2, 45) + " " + prose(4, 45)} == substring_dedup.brute_force(t, 2, 20)
 
 
+def test_substring_dedup_takes_long_sentences_and_short_texts(spark):
+    long = " ".join(random.Random(5).choice(WORDS) for _ in range(60)) + "."
+    t = {0: long, 1: "Own start. " + long + " Own end.", 2: long, 3: "short text", 4: "Short. Text.", 5: "short text", 6: "Short. Text.", 7: "More. short text", 8: " \n"}
+    d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in substring_dedup.dedup(spark, d).collect()}
+    assert got == t | {1: "Own start. Own end.", 2: "", 5: "", 6: ""} == substring_dedup.brute_force(t, 2, 20)
+
+
 # 7
 def base_spans(x: str) -> str:
     out = []
