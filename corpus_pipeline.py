@@ -4,9 +4,9 @@ A stage's result is written as Parquet and read again as the next one's document
 return the columns of ``documents``.
 
 1. ``quality``: documents that the line CRF rejects (score under 0.3) go.
-2. ``near_dedup``: one document, that of the smallest id, stays of each group of SimHash links. The
-   radius is 6 of 64 bits here, wider than the query's 3: more near copies are found, and documents
-   of different texts are still some 26 bits from coming within it.
+2. ``near_dedup``: one document, that of the smallest id, stays of each group of SimHash links
+   whose texts have a Jaccard similarity of 5-word shingles of 0.8 or more. The radius is 6 of 64
+   bits here, wider than the query's 3.
 3. ``decontamination``: documents with a window that matches a benchmark item go.
 4. ``secrets``: secrets are replaced by their kind; n_chars follows. No document goes.
 5. ``sentencepiece``: ids of every text, counted and checksummed, with the round trip's result.
@@ -23,6 +23,7 @@ from forkline.llm import decontamination, quality, secrets, sentencepiece_tok, s
 from forkline.llm.common import Scratch, table
 
 RADIUS = 6
+SIMILARITY = 0.8
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(spark, docs, radius=RADIUS)
+    return simhash.keep_one(spark, docs, radius=RADIUS, similarity=SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,12 +230,70 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     return prints.join(of, "fp").select(key, "fp", "component")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of the text's different word shingles, ascending; words as in ``fingerprint``."""
+    words = (text or "").encode().lower().split()
+    parts = set(zip(*(words[i:] for i in range(shingle)), strict=False)) or ({tuple(words)} if words else set())
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts), dtype="<u8", count=len(parts))).view(np.int64)
+
+
+def signature(hashes: np.ndarray) -> int:
+    """One long for texts of equal shingle sets."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, key: str, text: str) -> DataFrame:
+    """(src, dst): those of ``pairs`` of signatures whose 5-word shingle sets have the Jaccard similarity."""
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 200):
+            of = [shingle_set(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([signature(h) for h in of], pa.int64()), pa.array(of, pa.list_(pa.int64()))], names=["sig", "has"])
+
+    wanted = pairs.select(F.col("src").alias("sig")).union(pairs.select("dst")).distinct().join(classes, "sig").select(F.col("least").alias("__least")).distinct()
+    known = docs.join(wanted, docs[key].cast("long").eqNullSafe(wanted["__least"]), "left_semi").select(text).mapInArrow(sets, "sig long, has array<long>").dropDuplicates(["sig"])
+    both = pairs.join(known.toDF("src", "a"), "src").join(known.toDF("dst", "b"), "dst")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.where(same >= similarity * (F.size("a") + F.size("b") - same) - 1e-9).select("src", "dst")
+
+
+def alike(spark: SparkSession, docs: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(key, fp, component) over links of fingerprints whose texts have the 5-word shingle similarity."""
+    scratch = Scratch(spark, "alike")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 500):
+            texts = b.column(1).to_pylist()
+            fp = np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([signature(shingle_set(x)) for x in texts], pa.int64())], names=[key, "fp", "sig"])
+
+    prints = scratch.write(docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, fp long, sig long"), "prints")
+    # one set of shingles can have several fingerprints: they link like different texts
+    of = scratch.write(prints.select("fp", "sig").distinct(), "of")
+    classes = scratch.write(prints.groupBy("sig").agg(F.min(key).alias("least")), "classes")
+    near = links(of.select("fp").distinct(), radius)
+    pairs = near.join(of.toDF("src", "s"), "src").join(of.toDF("dst", "d"), "dst").select("s", "d")
+    equal = of.toDF("fp", "s").join(of.toDF("fp", "d"), "fp").select("s", "d")
+    pairs = pairs.union(equal).where("s <> d").select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).distinct()
+    edges = scratch.write(verified(docs, classes, scratch.write(pairs, "pairs"), similarity, key, text), "edges")
+    return rooted(spark, prints, classes, edges, scratch, key)
+
+
+def rooted(spark: SparkSession, prints: DataFrame, classes: DataFrame, edges: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """(key, fp, component): the smallest key reachable over ``edges`` of signatures."""
+    roots = connected_components(spark, edges, scratch).withColumnRenamed("node", "sig")
+    of = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    least = of.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.join(scratch.write(of.join(least, "root").select("sig", "component"), "components"), "sig").select(key, "fp", "component")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest id.
 
+    ``similarity``: links count only between texts of that Jaccard similarity of 5-word shingles.
     Equal rows become one; different texts under one id stand or fall with the id.
     """
-    found = near_duplicates(spark, docs, key, text, shingle, radius)
+    found = near_duplicates(spark, docs, key, text, shingle, radius) if similarity is None else alike(spark, docs, similarity, key, text, shingle, radius)
     kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__kept")).distinct()
     out = docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
     if not found.groupBy(key).count().where("count > 1").isEmpty():

@@ -339,6 +339,29 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(spark, empty).isEmpty()
 
 
+def components_of_similar(t: dict[int, str | None], similarity: float, linked) -> dict[int, int]:
+    sets = {k: set(simhash.shingle_set(v).tolist()) for k, v in t.items()}
+    comp = {k: k for k in t}
+    for _ in t:
+        for a in t:
+            for b in t:
+                if sets[a] == sets[b] or linked(a, b) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def test_keep_one_verifies_similarity(spark, docs):
+    t = texts()
+    t |= {32: "x y z " * 30 + prose(50, 6), 33: "x y z " * 30 + prose(51, 7), 34: prose(19, 300) + " end", 35: prose(19, 300) + " END"}
+    prints = {k: simhash.fingerprint(v) for k, v in t.items()}
+    d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    near = {(a, b) for a in t for b in t if a < b and (prints[a] ^ prints[b]).bit_count() <= 6}
+    comp = components_of_similar(t, 0.8, lambda a, b: (min(a, b), max(a, b)) in near)
+    assert any(comp[a] != comp[b] for a, b in near)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark, d, radius=6, similarity=0.8).collect()}
+    assert kept == {k for k in t if comp[k] == k}
+
+
 def test_simhash_hash_is_plain_xxh64(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b é"))).first()[0]
     assert got & (2**64 - 1) == xxhash.xxh64_intdigest("a b é".encode(), seed=42)
