@@ -5,7 +5,7 @@ come from ``split`` and ``regexp_extract_all`` over the same pattern: the gaps a
 alternate, so running sums of their lengths are code-point offsets.
 
 The battery looks at every other run of at least ``MIN_RUN`` characters of the base64 alphabets
-that holds a digit and a letter. Its encoding is inferred from the characters it uses (hex, base32,
+that holds a digit and a letter; ``=`` is padding at its end only, so NAME=VALUE is two runs. Its encoding is inferred from the characters it uses (hex, base32,
 base36, base62, base64). Three statistics ask how well it fits the hypothesis "structured text":
 
 * chi-squared uniformity over the alphabet, against the noncentral law of text whose characters
@@ -38,7 +38,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same places as AKIA[A-Z0-9]+ with 20 or mor
 HEX = r"[0-9a-f]{24,}"  # the same places as maximal runs of 24 or more
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
-RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
+RUN = r"[A-Za-z0-9+/_-]{%d,}=*" % MIN_RUN  # "=" pads a run at its end; an inner one ends it
 COINCIDENCE = 1.75
 CORRELATION = 0.25
 FDR = 0.01

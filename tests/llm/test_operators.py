@@ -262,6 +262,13 @@ def test_secrets(spark, empty):
     assert secrets.redact(spark, d).columns == d.columns
 
 
+@pytest.mark.parametrize("name, value", [("aws_access_key_value", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8s2Lk4Vh"), ("AccountKey", "Zk3vQ9sLx7Tn2Rb8Wm4Yc1Hd6Fg0JpKq5Ua+Eo/Xi3Nz=="), ("signature", "kJ8dLq2Zx9Pv4Tn7Rb3Wm6Yc1Hs5Fg0A")])
+def test_secrets_after_a_name(spark, name, value):
+    x = f"set {name}={value} end"
+    d = spark.createDataFrame([(1, x)], "doc_id long, text string")
+    assert secrets.redact(spark, d).first()["text"] == f"set {name}=[random] end"
+
+
 def test_battery_tells_random_from_text(spark):
     rng = random.Random(4)
     alphabets = {"hex": "0123456789abcdef", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
