@@ -48,6 +48,18 @@ def test_stages(spark):
         assert r["n_chars"] == len(r["text"] or "")
 
 
+def test_near_dedup_finds_copies_beyond_six_bits(spark):
+    import corpus_pipeline as p
+    from forkline.llm import simhash
+    from tests.llm.test_operators import prose
+
+    words = prose(103, 150).split()
+    copy = " ".join(words[:40] + ["new"] + words[41:90] + ["other"] + words[91:])
+    assert 6 < (simhash.fingerprint(prose(103, 150)) ^ simhash.fingerprint(copy)).bit_count() <= p.RADIUS
+    d = spark.createDataFrame([(1, prose(103, 150)), (2, copy), (3, prose(104, 150))], "doc_id long, text string")
+    assert {r["doc_id"] for r in p.near_dedup(spark, d, "").collect()} == {1, 3}
+
+
 def test_run_is_registered():
     import __spark_entry__
 
