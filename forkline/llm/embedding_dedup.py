@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import Scratch, connected_components
+from forkline.llm.common import Scratch, connected_components, forest
 
 #: Room for rounding in single precision on unit vectors.
 SLACK = 2e-5
@@ -154,22 +154,6 @@ def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node reachable over the links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        root = new[root]
-        live = root[a] != root[b]
-        a, b = a[live], b[live]
-    return root
-
-
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", tile: int = 2048, leaves: int = 1024, sample: int = 20_000) -> DataFrame:
     """(key, n_links, component, kept) for every row of ``vectors``."""
     scratch = Scratch(spark, "vectors")

@@ -8,8 +8,9 @@
 4. Each class, as a query, gets its own thresholds per partition: a dynamic programme picks those
    that sum to ``radius - partitions + 1`` (-1 leaves a partition out) with the fewest estimated
    candidates. By the generalised pigeonhole principle no class within the radius is missed.
-5. The query's ball in each partition is joined to the exact partition values; the distance is
-   part of the join condition, so only true links leave the join.
+5. The query's ball in each partition meets the exact partition values in blocks, hot ones cut into
+   tiles; a task compares fingerprints and puts out a spanning forest of the true links, at most
+   an edge a row, so a group of any size costs rows in proportion and never its pairs.
 6. Components of the links, then the smallest document of each.
 
 The histograms are of bounded size (8 blocks x 256 values, 64 x 64 co-occurrences); links,
@@ -31,11 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import Scratch, batches, connected_components
+from forkline.llm.common import Scratch, batches, connected_components, forest
 
 BITS = 64
 SEED = 42
 BLOCK = 8
+#: A block of more than TILE x TILE comparisons is cut into tiles.
+TILE = 1024
+#: Fingerprints chained within so many bits are one group when similarities are verified.
+CHAIN = 6
+#: Shingle sets of one side of a verified block.
+GROUP_TILE = 256
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -188,34 +195,145 @@ def choose_plan(n: int, both: np.ndarray, hist: np.ndarray, radius: int) -> Plan
     return min(plans, key=lambda p: p.thresholds(queries)[1].mean() + len(p.groups))
 
 
-def links(classes: DataFrame, radius: int = 3) -> DataFrame:
-    """(src, dst): every pair of different fingerprints of ``classes`` (fp) within ``radius`` bits, once or more."""
+def _blocks(classes: DataFrame, radius: int, scratch: Scratch, name: str, tile: int) -> DataFrame:
+    """Queries (side 0) and indexed rows (side 1) dealt to blocks (part, value, s, d), sorted within partitions.
+
+    A block is what one value of one partition gathers. One of more than ``tile`` x ``tile``
+    comparisons is cut into tiles of both sides, every tile of queries meeting every tile of rows, so
+    no task holds or compares a whole hot value. The hot values are counted and written first.
+    """
     plan = choose_plan(*bit_statistics(classes), radius)
+    names = ["part", "value", *classes.columns]
+    at = classes.columns.index("fp")
+
+    def dealt(b: pa.RecordBatch, g: int, value: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+        own = b.columns if rows is None else [c.take(pa.array(rows)) for c in b.columns]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), g, dtype=np.int32)), pa.array(value.view(np.int64)), *own], names=names)
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
+            fp = b.column(at).to_numpy(zero_copy_only=False)
             for g in range(len(plan.groups)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), g, dtype=np.int32)), pa.array(plan.value(fp, g).view(np.int64)), pa.array(fp)], names=["part", "value", "dst"])
+                yield dealt(b, g, plan.value(fp, g))
 
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2000):
-            fp = b.column(0).to_numpy(zero_copy_only=False)
+            fp = b.column(at).to_numpy(zero_copy_only=False)
             allowed, _ = plan.thresholds(fp)
             for g in range(len(plan.groups)):
                 for t in range(radius + 1):
-                    if len(own := fp[allowed[:, g] == t]):
+                    if len(rows := np.flatnonzero(allowed[:, g] == t)):
                         ball = plan.ball(g, t)
-                        value = (plan.value(own, g)[:, None] ^ ball[None, :]).ravel().view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), g, dtype=np.int32)), pa.array(value), pa.array(np.repeat(own, len(ball)))], names=["part", "value", "src"])
+                        yield dealt(b, g, (plan.value(fp[rows], g)[:, None] ^ ball[None, :]).ravel(), np.repeat(rows, len(ball)))
+
+    kind = "part int, value long, " + ", ".join(f"{c} {t}" for c, t in classes.dtypes)
+    queries, rows = classes.mapInArrow(probe, kind), classes.mapInArrow(index, kind)
+    tally = lambda x, q, r: x.select("part", "value", F.lit(q).alias("q"), F.lit(r).alias("r"))
+    sizes = tally(queries, 1, 0).unionAll(tally(rows, 0, 1)).groupBy("part", "value").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
+    tiles = lambda c: F.ceil(F.col(c) / tile).cast("int").alias(c)
+    hot = scratch.write(sizes.where(F.col("q") * F.col("r") > tile * tile).select("part", "value", tiles("q"), tiles("r")), f"{name}-hot")
+    if hot.isEmpty():
+        place = lambda x, side: x.withColumns({"s": F.lit(0), "d": F.lit(0), "side": F.lit(side)})
+    else:
+
+        def place(x: DataFrame, side: int) -> DataFrame:
+            own, other = ("s", "d") if side == 0 else ("d", "s")
+            mine, theirs = ("q", "r") if side == 0 else ("r", "q")
+            cut = x.join(hot, ["part", "value"], "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64("node"), F.col(mine)).cast("int"), F.lit(0)))
+            return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(theirs) - 1, F.lit(0))))).withColumn("side", F.lit(side))
+
+    keys = ["part", "value", "s", "d"]
+    order = [*keys, "side", *classes.columns]
+    return place(queries, 0).select(order).unionAll(place(rows, 1).select(order)).repartition(*keys).sortWithinPartitions(*keys, "side")
+
+
+def _whole_blocks(it: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Tables of whole blocks, of about ``rows`` rows; the first four columns say the block."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in it:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(n, dtype=bool)
+        for c in range(4):
+            x = t.column(c).to_numpy()
+            last &= x == x[-1]
+        cut = n - int(last.sum())
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), n - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _close(t: pa.Table, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (query, row) of the pairs within the radius in each block of ``t``, each from its lesser node."""
+    keys = [t.column(c).to_numpy() for c in range(4)]
+    new = np.zeros(t.num_rows, dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    block = np.cumsum(new) - 1
+    queries = t["side"].to_numpy() == 0
+    n_rows = np.bincount(block[~queries], minlength=block[-1] + 1)
+    ends = np.append(np.flatnonzero(new)[1:], t.num_rows)
+    fp, node = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy()
+    q = np.flatnonzero(queries)
+    reps = n_rows[block[q]]
+    upto = np.cumsum(reps)
+    cuts = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(q)]
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        k = reps[x:y]
+        i = np.repeat(q[x:y], k)
+        j = np.repeat(ends[block[q[x:y]]] - k, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        near = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (node[i] < node[j])
+        yield i[near], j[near]
+
+
+def _nodes(classes: DataFrame) -> DataFrame:
+    return classes if "node" in classes.columns else classes.select("fp", F.col("fp").alias("node"))
+
+
+def links(classes: DataFrame, radius: int = 3, similarity: float | None = None, scratch: Scratch | None = None, tile: int = TILE) -> DataFrame:
+    """(src, dst): every pair of different nodes of ``classes`` (fp[, node]) within ``radius`` bits, once or more.
+
+    With ``root`` and ``n`` among the columns, pairs of one root are left out, as are pairs whose sizes
+    n can't have the Jaccard ``similarity``. ``spanning`` is the form for groups of any size.
+    """
+    own = scratch or Scratch(classes.sparkSession, "links")
+    apart = "root" in classes.columns
 
-    rows = classes.select("fp")
-    left = rows.mapInArrow(probe, "part int, value long, src long")
-    right = rows.mapInArrow(index, "part int, value long, dst long")
-    near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius
-    # each pair would be met from both of its ends, so one direction loses nothing
-    on = (left["part"] == right["part"]) & (left["value"] == right["value"]) & (F.col("src") < F.col("dst")) & near
-    return left.join(right, on).select("src", "dst")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_blocks(it):
+            node = t["node"].to_numpy()
+            for i, j in _close(t, radius):
+                if apart:
+                    root, n = t["root"].to_numpy(), t["n"].to_numpy()
+                    keep = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= (similarity or 0) * np.maximum(n[i], n[j]) - 1e-9)
+                    i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["src", "dst"])
+
+    return _blocks(_nodes(classes), radius, own, f"links{radius}", tile).mapInArrow(run, "src long, dst long")
+
+
+def spanning(classes: DataFrame, radius: int = 3, scratch: Scratch | None = None, tile: int = TILE) -> DataFrame:
+    """(src, dst): links that connect what the links within ``radius`` connect, at most one a row of a block."""
+    own = scratch or Scratch(classes.sparkSession, "spanning")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_blocks(it):
+            node = t["node"].to_numpy()
+            for i, j in _close(t, radius):
+                names, at = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
+                root = forest(len(names), at[: len(i)], at[len(i) :])
+                moved = np.flatnonzero(root != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["src", "dst"])
+
+    return _blocks(_nodes(classes), radius, own, f"spanning{radius}", tile).mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -223,7 +341,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     scratch = Scratch(spark, "simhash")
     prints = scratch.write(fingerprints(docs, key, text, shingle), "prints")
     classes = scratch.write(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    roots = connected_components(spark, links(classes, radius), scratch).withColumnRenamed("node", "fp")
+    roots = connected_components(spark, spanning(classes.select("fp"), radius, scratch), scratch).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = scratch.write(rooted.join(least, "root").select("fp", "component"), "of")
@@ -242,41 +360,107 @@ def signature(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, key: str, text: str) -> DataFrame:
-    """(src, dst): those of ``pairs`` of signatures whose 5-word shingle sets have the Jaccard similarity."""
-
-    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 200):
-            of = [shingle_set(x) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(h) for h in of], pa.int64()), pa.array(of, pa.list_(pa.int64()))], names=["sig", "has"])
-
-    wanted = pairs.select(F.col("src").alias("sig")).union(pairs.select("dst")).distinct().join(classes, "sig").select(F.col("least").alias("__least")).distinct()
-    known = docs.join(wanted, docs[key].cast("long").eqNullSafe(wanted["__least"]), "left_semi").select(text).mapInArrow(sets, "sig long, has array<long>").dropDuplicates(["sig"])
-    both = pairs.join(known.toDF("src", "a"), "src").join(known.toDF("dst", "b"), "dst")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): those of ``pairs`` of signatures whose ``sets`` (sig, has) have the Jaccard similarity."""
+    both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     same = F.size(F.array_intersect("a", "b"))
     return both.where(same >= similarity * (F.size("a") + F.size("b") - same) - 1e-9).select("src", "dst")
 
 
-def alike(spark: SparkSession, docs: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(key, fp, component) over links of fingerprints whose texts have the 5-word shingle similarity."""
+def similar_within(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of similarity among ``sets`` (ascending, without repeats).
+
+    Breadth first: a set is compared with those that its component doesn't hold yet, all in one pass.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    free, out = np.arange(len(sets)), []
+    while len(free) > 1:
+        queue, free = [int(free[0])], free[1:]
+        while queue and len(free):
+            p = queue.pop()
+            fit = np.minimum(size[free], size[p]) >= similarity * np.maximum(size[free], size[p]) - 1e-9
+            others = free[fit]
+            if not len(others):
+                continue
+            both = np.zeros(len(others), dtype=np.int64)
+            if size[p]:
+                flat = np.concatenate([sets[k] for k in others])
+                at = np.searchsorted(sets[p], flat)
+                at[at == size[p]] = 0
+                ends = np.cumsum(size[others])
+                hits = np.concatenate([[0], np.cumsum(sets[p][at] == flat)])
+                both = hits[ends] - hits[ends - size[others]]
+            hit = others[both >= similarity * (size[others] + size[p] - both) - 1e-9]
+            out += [(int(names[p]), int(names[k])) for k in hit]
+            queue += hit.tolist()
+            free = np.setdiff1d(free, hit, assume_unique=True)
+    return out
+
+
+def similar_groups(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch, tile: int) -> DataFrame:
+    """(src, dst): a spanning forest of the links of similarity within each group of ``members`` (sig, root).
+
+    A group is cut into tiles of about ``tile`` sets and each pair of its tiles is one block, so a
+    task holds two tiles of sets, however large the group; no pairs are put out.
+    """
+    counts = members.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").withColumn("tiles", F.ceil(F.col("k") / tile).cast("int")).drop("k")
+    counts = scratch.write(counts, "groups")
+    cut = members.join(counts, "root").withColumn("t", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
+    # the pairs of tiles (s <= d) that hold tile t
+    spread = cut.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", "sig", F.least("t", "u").alias("s"), F.greatest("t", "u").alias("d"))
+    held = spread.join(sets, "sig").select("root", F.lit(0).cast("long").alias("none"), "s", "d", "sig", "has")
+    keys = ["root", "none", "s", "d"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_blocks((b for big in it for b in batches(iter([big]), 256)), 2 * tile):
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            out: list[tuple[int, int]] = []
+            for a, b in zip(first, np.append(first[1:], t.num_rows), strict=True):
+                has = t["has"].slice(a, b - a).combine_chunks()
+                flat, ends = has.values.to_numpy(), has.offsets.to_numpy()
+                out += similar_within(t["sig"].slice(a, b - a).to_numpy(), [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)], similarity)
+            src, dst = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+
+
+def alike(spark: SparkSession, docs: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, tile: int = GROUP_TILE) -> DataFrame:
+    """(key, fp, component) over links of texts that have the 5-word shingle similarity.
+
+    Texts of equal shingle sets are one signature. Signatures chained by fingerprints within ``CHAIN``
+    bits (or ``radius``, if less) are a group, all of whose sets are compared in tiles; beyond the
+    groups, pairs within ``radius`` bits are verified one by one.
+    """
     scratch = Scratch(spark, "alike")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 500):
             texts = b.column(1).to_pylist()
             fp = np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([signature(shingle_set(x)) for x in texts], pa.int64())], names=[key, "fp", "sig"])
+            has = [shingle_set(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([signature(h) for h in has], pa.int64()), pa.array([len(h) for h in has], pa.int32())], names=[key, "fp", "sig", "n"])
 
-    prints = scratch.write(docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, fp long, sig long"), "prints")
-    # one set of shingles can have several fingerprints: they link like different texts
-    of = scratch.write(prints.select("fp", "sig").distinct(), "of")
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 200):
+            has = [shingle_set(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([signature(h) for h in has], pa.int64()), pa.array(has, pa.list_(pa.int64()))], names=["sig", "has"])
+
+    prints = scratch.write(docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, fp long, sig long, n int"), "prints")
+    # one set of shingles can have several fingerprints: each is a row of the same node
+    of = scratch.write(prints.select("fp", F.col("sig").alias("node"), "n").distinct(), "of")
     classes = scratch.write(prints.groupBy("sig").agg(F.min(key).alias("least")), "classes")
-    near = links(of.select("fp").distinct(), radius)
-    pairs = near.join(of.toDF("src", "s"), "src").join(of.toDF("dst", "d"), "dst").select("s", "d")
-    equal = of.toDF("fp", "s").join(of.toDF("fp", "d"), "fp").select("s", "d")
-    pairs = pairs.union(equal).where("s <> d").select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).distinct()
-    edges = scratch.write(verified(docs, classes, scratch.write(pairs, "pairs"), similarity, key, text), "edges")
-    return rooted(spark, prints, classes, edges, scratch, key)
+    chains = connected_components(spark, spanning(of.select("fp", "node"), min(CHAIN, radius), scratch), scratch, "chain")
+    rooted_of = scratch.write(of.join(chains, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    pairs = scratch.write(links(rooted_of, radius, similarity, scratch).distinct(), "pairs")
+    members = chains.select(F.col("node").alias("sig"), "root")
+    wanted = pairs.select(F.col("src").alias("sig")).union(pairs.select("dst")).union(members.select("sig")).distinct()
+    wanted = scratch.write(wanted.join(classes, "sig").select(F.col("least").alias("__least")).distinct(), "wanted")
+    known = docs.join(wanted, docs[key].cast("long").eqNullSafe(wanted["__least"]), "left_semi").select(text).mapInArrow(sets, "sig long, has array<long>").dropDuplicates(["sig"])
+    known = scratch.write(known, "sets")
+    edges = similar_groups(members, known, similarity, scratch, tile).unionAll(similar_pairs(pairs, known, similarity))
+    return rooted(spark, prints, classes, scratch.write(edges, "edges"), scratch, key)
 
 
 def rooted(spark: SparkSession, prints: DataFrame, classes: DataFrame, edges: DataFrame, scratch: Scratch, key: str) -> DataFrame:

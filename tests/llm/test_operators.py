@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from forkline.llm import decontamination, embedding_dedup, exact_substrings, quality, secrets, sentencepiece_tok, sharding, simhash, substring_dedup, token_files
+from forkline.llm import common, decontamination, embedding_dedup, exact_substrings, quality, secrets, sentencepiece_tok, sharding, simhash, substring_dedup, token_files
 from forkline.llm.common import Scratch, connected_components
 from forkline.llm.suffix_array import suffix_array
 
@@ -387,6 +387,50 @@ def test_pigeonhole_is_complete(spark, radius):
     assert got == {(int(fp[i]), int(fp[j])) for i, j in zip(a, b, strict=True) if fp[i] < fp[j]}
 
 
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_dense_groups_give_forests(spark, tile):
+    """400 fingerprints around one, and some elsewhere: the links' components, from few rows."""
+    rng = np.random.default_rng(11)
+    flip = lambda x, most: x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, most)), replace=False)))
+    centre = np.uint64(0x123456789ABCDEF0)
+    u = np.unique(np.array([flip(centre, 5) for _ in range(400)] + [flip(np.uint64(k * 0x9E3779B97F4A7C15 % 2**64), 3) for k in range(1, 40) for _ in range(2)], dtype=np.uint64))
+    d = spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long")
+    edges = [(r["src"], r["dst"]) for r in simhash.spanning(d, 3, tile=tile).collect()]
+    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 3
+    at = {int(x): i for i, x in enumerate(u.view(np.int64))}
+    assert all(a != b for a, b in edges)
+    want = common.forest(len(u), *np.nonzero(near))
+    got = common.forest(len(u), np.array([at[a] for a, _ in edges]), np.array([at[b] for _, b in edges]))
+    assert np.array_equal(got, want)
+    if tile == 1024:
+        assert len(edges) < near.sum() / 4
+
+
+def test_similar_within_is_brute_force():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 50)))) for _ in range(60)]
+    sets += [np.unique(np.append(x, 100)) for x in sets[:20]]
+    link = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9]
+    edges = simhash.similar_within(np.arange(len(sets)), sets, 0.8)
+    assert {(min(e), max(e)) for e in edges} <= set(link)
+    tree = lambda pairs: common.forest(len(sets), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert np.array_equal(tree(edges), tree(link))
+
+
+def plain_fingerprint(text: str) -> int:
+    """The fingerprint's definition, character by character."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall("[^\\x20\\x09-\\x0D]+", low)
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint_is_the_definition():
+    for x in ["", "a", "A b", "É x\u00a0y z\x85w", "one\ttwo\nthree\x0bfour\x0cfive\rsix", "a b c a b c a b c", prose(3, 200), "\x1c a \x1f b c"]:
+        assert simhash.fingerprint(x) == plain_fingerprint(x), x
+
+
 # 10
 def test_embeddings(spark):
     rng = np.random.default_rng(9)
@@ -401,7 +445,7 @@ def test_embeddings(spark):
     cos = (y @ y.T) / np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1))
     link = cos >= 0.9
     np.fill_diagonal(link, False)
-    root = embedding_dedup.forest(len(x), *np.nonzero(link))
+    root = common.forest(len(x), *np.nonzero(link))
     for i in range(len(x)):
         assert (got[i]["n_links"], got[i]["component"], got[i]["kept"]) == (int(link[i].sum()), int(root[i]), bool(root[i] == i)), i
     assert all((got[i]["n_links"], got[i]["component"], got[i]["kept"]) == (0, i, True) for i in range(1000, 1007))
