@@ -12,7 +12,7 @@ def strings(*names: str) -> T.StructType:
 AXES = ("semantic_risk", "semantic_morality", "semantic_action")
 LEVELS = {"risk": ("cautious", "neutral", "reckless"), "morality": ("selfish", "neutral", "noble"), "action": ("physical", "neutral", "tactical")}
 TRANSITION_TYPES = ("explicit_choice", "forced", "stochastic", "conditional", "complex")
-TRANSITION_KINDS = ("forced", "profile_choice", "random", "kai", "state_condition", "combat", "escape", "outcome", "complex")
+TRANSITION_KINDS = ("forced", "profile_choice", "random", "kai", "state_condition", "combat", "escape", "outcome", "manual")
 WEIGHT_RULES = ("constant", "profile_choice", "formula")
 
 PARAGRAPHS = strings("id", "text")
