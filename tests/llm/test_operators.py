@@ -280,6 +280,78 @@ def test_battery_tells_random_from_text(spark):
     assert at[1]["high"] < 0.01 < at[0]["low"]
 
 
+def plain_scan(texts: list[str]) -> list[str]:
+    """All spans by plain Python: base patterns, the battery from its definitions, the step-up rule."""
+    import math
+
+    shares = {"hex": [10, 6], "base32": [6, 26], "base36": [10, 26], "base62": [10, 26, 26], "base64": [10, 26, 26, 2]}
+    candidates = []
+    for row, x in enumerate(texts):
+        base = [tuple(int(v) for v in s.split(":")[1:]) for s in filter(None, base_spans(x).split(","))]
+        for m in re.finditer(secrets.RUN, x):
+            hit = m[0]
+            if not (re.search("[0-9]", hit) and re.search("[A-Za-z]", hit)) or any(a < m.end() and b > m.start() for a, b in base):
+                continue
+            name, alphabet = next(((e, a) for e, p, a in secrets.ENCODINGS if re.search(p, hit)), (None, ""))
+            if name is None:
+                continue
+            body = hit.rstrip("=")
+            body = body.lower() if name in ("hex", "base36") else body.replace("-", "+").replace("_", "/")
+            codes, k, n = [alphabet.index(c) for c in body], len(alphabet), len(body)
+            lam, df = (n - 1) * (secrets.COINCIDENCE - 1), k - 1
+            z1 = (k / n * sum(codes.count(c) ** 2 for c in set(codes)) - n - df - lam) / math.sqrt(2 * (df + 2 * lam))
+            kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in body]
+            q = (1 - sum((c / sum(shares[name])) ** 2 for c in shares[name])) / 2
+            z2 = ((n - 1) * q - sum(a != b for a, b in zip(kind, kind[1:], strict=False))) / math.sqrt((n - 1) * q * (1 - q))
+            mean = sum(codes) / n
+            var = sum((c - mean) ** 2 for c in codes)
+            corr = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / var if var else 1.0
+            z = (z1 + z2 + (abs(corr) - secrets.CORRELATION) * math.sqrt(n)) / math.sqrt(3)
+            p = math.erfc(-z / math.sqrt(2)) / 2
+            candidates.append((row, m.start(), m.end(), (name, int(math.log2(n))), min(400, math.floor(-20 * math.log10(max(p, 1e-30))))))
+    found = [[] for _ in texts]
+    for stratum in {c[3] for c in candidates}:
+        own = [c for c in candidates if c[3] == stratum]
+        tops = [b for *_, b in own if 10 ** (-b / 20) * len(own) <= secrets.FDR * sum(c[4] >= b for c in own)]
+        for row, start, end, _, b in own:
+            if tops and b >= min(tops):
+                found[row].append((start, 3, end, "random"))
+    out = []
+    for row, x in enumerate(texts):
+        spans = [(int(a), secrets.KINDS.index(k), int(e), k) for k, a, e in (s.split(":") for s in filter(None, base_spans(x).split(",")))]
+        out.append(",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(spans + found[row])))
+    return out
+
+
+def test_random_spans_are_brute_force(spark):
+    rng = random.Random(21)
+    alphabets = [a for _, _, a in secrets.ENCODINGS] + ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    word = lambda: rng.choice([lambda: "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(20, 90))), lambda: "".join(rng.choice(WORDS) for _ in range(rng.randint(4, 9))) + "7", lambda: "token=" + "".join(rng.choice(alphabets[0]) for _ in range(30)), lambda: "é" + rng.choice(WORDS), lambda: "AKIA" + "B7" * 10 + "/xyz"])()
+    x = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(80)] + ["a1" * 400, "A" * 30 + "1", "", *filter(None, SECRETS)]
+    d = spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(spark, d).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert [got[i] for i in range(len(x))] == plain_scan(x)
+
+
+def test_secrets_take_long_runs_and_many_matches(spark):
+    """Each took minutes when a list was copied at every match and a mean worked out at every element."""
+    import time
+
+    rng = random.Random(22)
+    base64 = secrets.ENCODINGS[-1][2]
+    long = "".join(rng.choice(base64) for _ in range(1_000_000))
+    many = " ".join(f"token=abcdef{i:06d}" for i in range(100_000))
+    mixed = " ".join(("password=hunter%d " % i) + "".join(rng.choice(base64) for _ in range(24)) for i in range(20_000))
+    d = spark.createDataFrame([(1, "x " + long + " y"), (2, many), (3, mixed)], "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.redact(spark, d).collect()}
+    took = time.time() - began
+    assert got[1]["text"] == "x [random] y"
+    assert got[2]["text"] == " ".join(["[assign]"] * 100_000)
+    assert got[3]["text"].count("[assign]") == 20_000
+    assert took < 90, took
+
+
 # 8
 def test_quality_learns_held_out(spark, empty):
     rng = random.Random(6)
