@@ -4,9 +4,9 @@ A stage's result is written as Parquet and read again as the next one's document
 return the columns of ``documents``.
 
 1. ``quality``: documents that the line CRF rejects (score under 0.3) go.
-2. ``near_dedup``: one document, that of the smallest id, stays of each group of SimHash links
-   whose texts have a Jaccard similarity of 5-word shingles of 0.8 or more. The radius is 12 of
-   64 bits here, wider than the query's 3, as the similarity decides.
+2. ``near_dedup``: one document, that of the smallest id, stays of each group of documents whose
+   texts have a Jaccard similarity of 5-word shingles of 0.8 or more; candidates are SimHash links
+   within 6 of 64 bits, of fingerprints of the texts' different words.
 3. ``decontamination``: documents with a window that matches a benchmark item go.
 4. ``secrets``: secrets are replaced by their kind; n_chars follows. No document goes.
 5. ``sentencepiece``: ids of every text, counted and checksummed, with the round trip's result.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from forkline.llm import decontamination, quality, secrets, sentencepiece_tok, simhash
 from forkline.llm.common import Scratch, table
 
-RADIUS = 12
+RADIUS = 6
 SIMILARITY = 0.8
 
 

@@ -37,10 +37,10 @@ from forkline.llm.common import Scratch, batches, connected_components, forest
 BITS = 64
 SEED = 42
 BLOCK = 8
-#: A block of more than TILE x TILE comparisons is cut into tiles.
+#: A value of more than TILE indexed rows is cut into tiles.
 TILE = 1024
 #: Fingerprints chained within so many bits are one group when similarities are verified.
-CHAIN = 6
+CHAIN = 3
 #: Shingle sets of one side of a verified block.
 GROUP_TILE = 256
 
@@ -58,6 +58,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def word_print(text: str | None) -> int:
+    """Majority fingerprint of the text's different words: an edit moves few of its bits, as it changes
+    few words, where it changes several shingles."""
+    words = set((text or "").encode().lower().split())
+    if not words:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype="<u8", count=len(words))
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long."""
     kind = dict(docs.dtypes)[key]
@@ -196,19 +209,21 @@ def choose_plan(n: int, both: np.ndarray, hist: np.ndarray, radius: int) -> Plan
 
 
 def _blocks(classes: DataFrame, radius: int, scratch: Scratch, name: str, tile: int) -> DataFrame:
-    """Queries (side 0) and indexed rows (side 1) dealt to blocks (part, value, s, d), sorted within partitions.
+    """Queries (side 0) and indexed rows (side 1) dealt to blocks (value, s, d), sorted within partitions.
 
-    A block is what one value of one partition gathers. One of more than ``tile`` x ``tile``
-    comparisons is cut into tiles of both sides, every tile of queries meeting every tile of rows, so
-    no task holds or compares a whole hot value. The hot values are counted and written first.
+    A block is what one value of one partition gathers. A value of more than ``tile`` indexed rows is
+    cut into tiles of both sides, every tile of queries meeting every tile of rows; elsewhere a block
+    has at most ``tile`` rows and ``tile`` queries for each value of the ball. So no task holds or
+    compares a whole hot value. The hot values are counted and written first.
     """
     plan = choose_plan(*bit_statistics(classes), radius)
-    names = ["part", "value", *classes.columns]
+    names = ["value", *classes.columns]
     at = classes.columns.index("fp")
 
     def dealt(b: pa.RecordBatch, g: int, value: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
         own = b.columns if rows is None else [c.take(pa.array(rows)) for c in b.columns]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), g, dtype=np.int32)), pa.array(value.view(np.int64)), *own], names=names)
+        # at most 32 bits of value under the partition's number
+        return pa.RecordBatch.from_arrays([pa.array((value | np.uint64(g << 40)).view(np.int64)), *own], names=names)
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -226,29 +241,27 @@ def _blocks(classes: DataFrame, radius: int, scratch: Scratch, name: str, tile:
                         ball = plan.ball(g, t)
                         yield dealt(b, g, (plan.value(fp[rows], g)[:, None] ^ ball[None, :]).ravel(), np.repeat(rows, len(ball)))
 
-    kind = "part int, value long, " + ", ".join(f"{c} {t}" for c, t in classes.dtypes)
+    kind = "value long, " + ", ".join(f"{c} {t}" for c, t in classes.dtypes)
     queries, rows = classes.mapInArrow(probe, kind), classes.mapInArrow(index, kind)
-    tally = lambda x, q, r: x.select("part", "value", F.lit(q).alias("q"), F.lit(r).alias("r"))
-    sizes = tally(queries, 1, 0).unionAll(tally(rows, 0, 1)).groupBy("part", "value").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
-    tiles = lambda c: F.ceil(F.col(c) / tile).cast("int").alias(c)
-    hot = scratch.write(sizes.where(F.col("q") * F.col("r") > tile * tile).select("part", "value", tiles("q"), tiles("r")), f"{name}-hot")
+    sizes = rows.groupBy("value").agg(F.count("*").alias("rows")).where(F.col("rows") > tile)
+    hot = scratch.write(sizes.select("value", F.ceil(F.col("rows") / tile).cast("int").alias("tiles")), f"{name}-hot")
     if hot.isEmpty():
         place = lambda x, side: x.withColumns({"s": F.lit(0), "d": F.lit(0), "side": F.lit(side)})
     else:
 
         def place(x: DataFrame, side: int) -> DataFrame:
             own, other = ("s", "d") if side == 0 else ("d", "s")
-            mine, theirs = ("q", "r") if side == 0 else ("r", "q")
-            cut = x.join(hot, ["part", "value"], "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64("node"), F.col(mine)).cast("int"), F.lit(0)))
-            return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(theirs) - 1, F.lit(0))))).withColumn("side", F.lit(side))
+            tiles = F.coalesce("tiles", F.lit(1))
+            cut = x.join(hot, "value", "left").withColumn(own, F.pmod(F.xxhash64("node"), tiles).cast("int"))
+            return cut.withColumn(other, F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("side", F.lit(side))
 
-    keys = ["part", "value", "s", "d"]
+    keys = ["value", "s", "d"]
     order = [*keys, "side", *classes.columns]
     return place(queries, 0).select(order).unionAll(place(rows, 1).select(order)).repartition(*keys).sortWithinPartitions(*keys, "side")
 
 
 def _whole_blocks(it: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.Table]:
-    """Tables of whole blocks, of about ``rows`` rows; the first four columns say the block."""
+    """Tables of whole blocks, of about ``rows`` rows; the first three columns say the block."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in it:
@@ -259,7 +272,7 @@ def _whole_blocks(it: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         last = np.ones(n, dtype=bool)
-        for c in range(4):
+        for c in range(3):
             x = t.column(c).to_numpy()
             last &= x == x[-1]
         cut = n - int(last.sum())
@@ -272,10 +285,10 @@ def _whole_blocks(it: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator
 
 def _close(t: pa.Table, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers (query, row) of the pairs within the radius in each block of ``t``, each from its lesser node."""
-    keys = [t.column(c).to_numpy() for c in range(4)]
     new = np.zeros(t.num_rows, dtype=bool)
     new[0] = True
-    for k in keys:
+    for c in range(3):
+        k = t.column(c).to_numpy()
         new[1:] |= k[1:] != k[:-1]
     block = np.cumsum(new) - 1
     queries = t["side"].to_numpy() == 0
@@ -408,17 +421,17 @@ def similar_groups(members: DataFrame, sets: DataFrame, similarity: float, scrat
     cut = members.join(counts, "root").withColumn("t", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     # the pairs of tiles (s <= d) that hold tile t
     spread = cut.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", "sig", F.least("t", "u").alias("s"), F.greatest("t", "u").alias("d"))
-    held = spread.join(sets, "sig").select("root", F.lit(0).cast("long").alias("none"), "s", "d", "sig", "has")
-    keys = ["root", "none", "s", "d"]
+    held = spread.join(sets, "sig").select("root", "s", "d", "sig", "has")
+    keys = ["root", "s", "d"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_blocks((b for big in it for b in batches(iter([big]), 256)), 2 * tile):
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
             first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             out: list[tuple[int, int]] = []
             for a, b in zip(first, np.append(first[1:], t.num_rows), strict=True):
                 has = t["has"].slice(a, b - a).combine_chunks()
-                flat, ends = has.values.to_numpy(), has.offsets.to_numpy()
+                flat, ends = has.values.to_numpy().view(np.uint64), has.offsets.to_numpy()  # ascending as unsigned numbers
                 out += similar_within(t["sig"].slice(a, b - a).to_numpy(), [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)], similarity)
             src, dst = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
@@ -426,9 +439,10 @@ def similar_groups(members: DataFrame, sets: DataFrame, similarity: float, scrat
     return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
 
 
-def alike(spark: SparkSession, docs: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, tile: int = GROUP_TILE) -> DataFrame:
+def alike(spark: SparkSession, docs: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", radius: int = 6, tile: int = GROUP_TILE) -> DataFrame:
     """(key, fp, component) over links of texts that have the 5-word shingle similarity.
 
+    Candidates come from fingerprints of the different words (``word_print``).
     Texts of equal shingle sets are one signature. Signatures chained by fingerprints within ``CHAIN``
     bits (or ``radius``, if less) are a group, all of whose sets are compared in tiles; beyond the
     groups, pairs within ``radius`` bits are verified one by one.
@@ -438,7 +452,7 @@ def alike(spark: SparkSession, docs: DataFrame, similarity: float, key: str = "d
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 500):
             texts = b.column(1).to_pylist()
-            fp = np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64).view(np.int64)
+            fp = np.array([word_print(x) for x in texts], dtype=np.uint64).view(np.int64)
             has = [shingle_set(x) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([signature(h) for h in has], pa.int64()), pa.array([len(h) for h in has], pa.int32())], names=[key, "fp", "sig", "n"])
 
@@ -474,10 +488,11 @@ def rooted(spark: SparkSession, prints: DataFrame, classes: DataFrame, edges: Da
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest id.
 
-    ``similarity``: links count only between texts of that Jaccard similarity of 5-word shingles.
+    ``similarity``: links are between texts of that Jaccard similarity of 5-word shingles, found
+    within ``radius`` bits of the fingerprints of their words (``shingle`` is not used).
     Equal rows become one; different texts under one id stand or fall with the id.
     """
-    found = near_duplicates(spark, docs, key, text, shingle, radius) if similarity is None else alike(spark, docs, similarity, key, text, shingle, radius)
+    found = near_duplicates(spark, docs, key, text, shingle, radius) if similarity is None else alike(spark, docs, similarity, key, text, radius)
     kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__kept")).distinct()
     out = docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
     if not found.groupBy(key).count().where("count > 1").isEmpty():

@@ -418,29 +418,53 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(spark, empty).isEmpty()
 
 
-def components_of_similar(t: dict[int, str | None], similarity: float, linked) -> dict[int, int]:
-    sets = {k: set(simhash.shingle_set(v).tolist()) for k, v in t.items()}
-    comp = {k: k for k in t}
-    for _ in t:
-        for a in t:
-            for b in t:
-                if sets[a] == sets[b] or linked(a, b) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-    return comp
+def grouped(ids, linked) -> dict:
+    """The smallest id that each reaches, by plain search."""
+    out, left = {}, sorted(ids)
+    while left:
+        queue, first = [left.pop(0)], None
+        while queue:
+            a = queue.pop()
+            first = a if first is None else first
+            out[a] = first
+            near = [b for b in left if linked(a, b)]
+            left = [b for b in left if b not in near]
+            queue += near
+    return out
 
 
-def test_keep_one_verifies_similarity(spark, docs):
+@pytest.mark.parametrize("tile", [2, 256])
+def test_alike_verifies_similarity(spark, tile):
     t = texts()
+    words = prose(60, 200).split()
     t |= {32: "x y z " * 30 + prose(50, 6), 33: "x y z " * 30 + prose(51, 7), 34: prose(19, 300) + " end", 35: prose(19, 300) + " END"}
-    prints = {k: simhash.fingerprint(v) for k, v in t.items()}
+    t |= {40 + k: " ".join([*words[: 9 * k], f"new{k}", *words[9 * k + 1 :]]) for k in range(12)}
+    prints, sets = {k: simhash.word_print(v) for k, v in t.items()}, {k: set(simhash.shingle_set(v).tolist()) for k, v in t.items()}
     d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
-    near = {(a, b) for a in t for b in t if a < b and (prints[a] ^ prints[b]).bit_count() <= 6}
-    comp = components_of_similar(t, 0.8, lambda a, b: (min(a, b), max(a, b)) in near)
-    assert any(comp[a] != comp[b] for a, b in near)
+    near = lambda a, b, r: (prints[a] ^ prints[b]).bit_count() <= r
+    chain = grouped(t, lambda a, b: near(a, b, simhash.CHAIN))
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    comp = grouped(t, lambda a, b: (chain[a] == chain[b] or near(a, b, 6)) and similar(a, b))
+    assert any(near(a, b, 6) and not similar(a, b) for a in t for b in t)
+    got = {r["doc_id"]: r["component"] for r in simhash.alike(spark, d, 0.8, tile=tile).collect()}
+    assert got == comp
     kept = {r["doc_id"] for r in simhash.keep_one(spark, d, radius=6, similarity=0.8).collect()}
     assert kept == {k for k in t if comp[k] == k}
 
 
+def test_word_prints_of_similar_texts_are_near():
+    """Held-out recall of the candidates: edits of invented texts at a 5-word similarity of 0.8 or more."""
+    rng, hit, n = random.Random(31), 0, 0
+    for i in range(300):
+        a = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randint(60, 400))]
+        b = [rng.choice(WORDS) + "q" if rng.random() < 0.02 else w for w in a]
+        x, y = (set(simhash.shingle_set(" ".join(w)).tolist()) for w in (a, b))
+        if a != b and len(x & y) >= 0.8 * len(x | y):
+            n += 1
+            hit += (simhash.word_print(" ".join(a)) ^ simhash.word_print(" ".join(b))).bit_count() <= 6
+    assert n > 100 and hit >= 0.9 * n
+
+
 def test_simhash_hash_is_plain_xxh64(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b é"))).first()[0]
     assert got & (2**64 - 1) == xxhash.xxh64_intdigest("a b é".encode(), seed=42)
