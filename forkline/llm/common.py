@@ -51,6 +51,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Stands for a null id, and is below every other.
+NO_ID = -(2**63)
+
+
+def tagged(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """(id, twin, text): rows told apart by id and twin. Null ids are ``NO_ID``.
+
+    ``twin`` is 0, but where one id has different texts it is the text's hash, so that such texts are
+    documents of their own, in the order of (id, twin); rows of equal id and text stay one document.
+    """
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    mixed = rows.groupBy("id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("id", F.lit(True).alias("mixed"))
+    mixed = scratch.write(mixed, "mixed-ids")
+    if mixed.isEmpty():
+        return rows.select("id", F.lit(0).cast("long").alias("twin"), "text")
+    return rows.join(mixed, "id", "left").select("id", F.when(F.col("mixed"), h).otherwise(0).alias("twin"), "text")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -23,7 +23,8 @@ bytes after it in its document.
 5. The repeats' ranges meet the texts once, by document.
 
 Cases: a null text is empty; a text shorter than ``length`` keeps every byte; a null id counts as
-the smallest; equal rows (id and text) have equal places and keep what one of them keeps; an
+the smallest; equal rows (id and text) have equal places and keep what one of them keeps; different
+texts under one id (null ids too) are different documents, in the order of the texts' hashes; an
 empty table gives an empty result; very long texts are read whole; other columns are ignored.
 """
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import Scratch, batches
+from forkline.llm.common import NO_ID, Scratch, batches, tagged
 from forkline.llm.suffix_array import suffix_array
 
 GRAM = 40
@@ -48,7 +49,6 @@ BLOCK = 24_000
 LARGE = 1_000
 #: Windows of a part, where a group beyond that is dealt out anew.
 PART = 8
-NO_ID = -(2**63)
 _BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -132,8 +132,11 @@ def chunks(it: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterat
                 yield b.slice(x, y - x)
 
 
-def block_repeats(segments: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """Repeated windows (id, first start, windows) among segments (id, start, windows, anchor, bytes)."""
+def block_repeats(segments: list[tuple[int, int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
+    """Repeated windows (id, twin, first start, windows) among segments (id, twin, start, windows, anchor, bytes)."""
+    documents = sorted({s[:2] for s in segments})
+    rank_of = {d: i for i, d in enumerate(documents)}
+    segments = [(rank_of[s[:2]], *s[2:]) for s in segments]
     letters: dict[bytes, int] = {}
     parts = []
     for _, _, _, rel, raw in segments:
@@ -162,7 +165,7 @@ def block_repeats(segments: list[tuple[int, int, int, int, bytes]], length: int)
     lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(rank))))
     later &= (ids[rank] != ids[rank][lead]) | (starts[rank] != starts[rank][lead])
     ids, starts = ids[rank][later], starts[rank][later]
-    return merged(ids, starts)
+    return [(*documents[i], at, n) for i, at, n in merged(ids, starts)]
 
 
 def merged(ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -178,29 +181,32 @@ def merged(ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(id, at, n): ranges of starts of repeated windows; ``docs`` has id and text."""
+    """(id, twin, at, n): ranges of starts of repeated windows; ``docs`` has id, twin and text."""
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(it, 1):
-            which, start, n, rel, gram, h = runs_of(encoded(b.column(1)), length)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h), pa.array(ids[which]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["gram", "h", "id", "at", "n", "rel"])
-
-    runs = scratch.write(docs.mapInArrow(cut, "gram long, h long, id long, at int, n short, rel short"), "runs")
-    often = runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+        for b in chunks(it, 2):
+            which, start, n, rel, gram, h = runs_of(encoded(b.column(2)), length)
+            ids, twins = (b.column(c).to_numpy(zero_copy_only=False)[which] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h), pa.array(ids), pa.array(twins), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["gram", "h", "id", "twin", "at", "n", "rel"])
+
+    runs = scratch.write(docs.mapInArrow(cut, "gram long, h long, id long, twin long, at int, n short, rel short"), "runs")
+    # counts are written before they are joined: then both sides of a join come from plain
+    # exchanges, and adaptive execution can split a gram that a large share of all runs has
+    often = scratch.write(runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "often")
     shared = scratch.write(runs.join(often, "gram"), "shared")
     scratch.drop("runs")
     same = ["gram", "h", "rel"]
-    segments = scratch.write(shared.groupBy(*same).agg(F.min(F.struct("id", "at", "n")).alias("first"), F.count("*").alias("places")), "segments")
-    mixed = segments.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
-    copies = shared.join(segments.where("places > 1").select(*same, F.col("first.id").alias("id0"), F.col("first.at").alias("at0")), same)
-    copies = copies.where("id <> id0 or at <> at0").select("id", "at", F.col("n").cast("int").alias("n"))
-
-    wanted = segments.join(mixed, "gram").select(F.col("first.id").alias("id"), F.struct("gram", "k", F.col("first.at").alias("at"), F.col("first.n").cast("int").alias("n"), F.col("rel").cast("int").alias("rel")).alias("s"))
-    wanted = wanted.groupBy("id").agg(F.collect_list("s").alias("s"))  # at most a document's runs
-    body = ["id", "at", "n", "rel", "bytes"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    columns_of = "id long, at int, n int, rel int, bytes binary"
+    segments = scratch.write(shared.groupBy(*same).agg(F.min(F.struct("id", "twin", "at", "n")).alias("first"), F.count("*").alias("places")), "segments")
+    mixed = scratch.write(segments.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
+    copies = shared.join(segments.where("places > 1").select(*same, F.col("first.id").alias("id0"), F.col("first.twin").alias("twin0"), F.col("first.at").alias("at0")), same)
+    copies = copies.where("id <> id0 or twin <> twin0 or at <> at0").select("id", "twin", "at", F.col("n").cast("int").alias("n"))
+
+    wanted = segments.join(mixed, "gram").select(F.col("first.id").alias("id"), F.col("first.twin").alias("twin"), F.struct("gram", "k", F.col("first.at").alias("at"), F.col("first.n").cast("int").alias("n"), F.col("rel").cast("int").alias("rel")).alias("s"))
+    wanted = wanted.groupBy("id", "twin").agg(F.collect_list("s").alias("s"))  # at most a document's runs
+    body = ["id", "twin", "at", "n", "rel", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    columns_of = "id long, twin long, at int, n int, rel int, bytes binary"
+    ranges = "id long, twin long, at int, n int"
 
     def rows(got: list[tuple], lead: list[str], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
         columns = list(zip(*got, strict=True)) or [()] * (len(lead) + len(names))
@@ -209,15 +215,15 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int)
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 200):
             out = []
-            for i, t, segs in zip(b.column(0).to_pylist(), encoded(b.column(1)), b.column(2).to_pylist(), strict=True):
-                out += [(s["gram"], s["k"], i, s["at"], s["n"], s["rel"], t[s["at"] : s["at"] + s["n"] + length - 1]) for s in segs]
+            for i, twin, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded(b.column(2)), b.column(3).to_pylist(), strict=True):
+                out += [(s["gram"], s["k"], i, twin, s["at"], s["n"], s["rel"], t[s["at"] : s["at"] + s["n"] + length - 1]) for s in segs]
             yield rows(out, ["gram", "k"], body, kinds)
 
-    bodies = scratch.write(docs.join(wanted, "id").select("id", "text", "s").mapInArrow(fetch, f"gram long, k long, {columns_of}"), "bodies")
+    bodies = scratch.write(docs.join(wanted, ["id", "twin"]).select("id", "twin", "text", "s").mapInArrow(fetch, f"gram long, k long, {columns_of}"), "bodies")
 
     def sort(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, group, held, last = [], [], 0, None
-        out = lambda b: rows(block_repeats(b, length), [], ["id", "at", "n"], kinds[:3])
+        out = lambda b: rows(block_repeats(b, length), [], body[:4], kinds[:4])
         for b in it:
             keys, segs = b.column(0).to_pylist(), zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)
             for key, seg in zip(keys, segs, strict=True):
@@ -227,23 +233,23 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int)
                         yield out(block)
                         block, held = [], 0
                 group.append(seg)
-                held += len(seg[4]) - GRAM
+                held += len(seg[5]) - GRAM
         if block or group:
             yield out(block + group)
 
     def sorted_repeats(d: DataFrame, key: str) -> DataFrame:
-        return d.repartition(key).sortWithinPartitions(key).select(key, *body).mapInArrow(sort, "id long, at int, n int")
+        return d.repartition(key).sortWithinPartitions(key).select(key, *body).mapInArrow(sort, ranges)
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches(it, 500):
             out = []
-            for i, at, n, rel, raw in zip(*(b.column(c).to_pylist() for c in body), strict=True):
+            for i, twin, at, n, rel, raw in zip(*(b.column(c).to_pylist() for c in body), strict=True):
                 for part in range((rel - n + 1) // PART, rel // PART + 1):  # by the anchor's offset in the window
                     low, high = PART * part, PART * part + PART - 1
                     x, y = max(0, rel - high), min(n - 1, rel - low)
                     core = raw[rel - low : rel - high + length]  # in every window with these offsets
-                    out.append((digest(core, part) - 2**63, i, at + x, y - x + 1, rel - x, raw[x : y + length]))
+                    out.append((digest(core, part) - 2**63, i, twin, at + x, y - x + 1, rel - x, raw[x : y + length]))
             yield rows(out, ["core"], body, kinds)
 
     large = bodies.where(F.col("k") > LARGE)
@@ -258,17 +264,18 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int)
     def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches(it, 500):
-            ids, starts, raws = [], [], []
-            for i, at, n, raw in zip(*(b.column(c).to_pylist() for c in ("id", "at", "n", "bytes")), strict=True):
+            ids, twins, starts, raws = [], [], [], []
+            for i, twin, at, n, raw in zip(*(b.column(c).to_pylist() for c in ("id", "twin", "at", "n", "bytes")), strict=True):
                 ids += [i] * n
+                twins += [twin] * n
                 starts += range(at, at + n)
                 raws += [digest(raw[j : j + length]) for j in range(n)]
             h = np.frombuffer(b"".join(raws), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["w1", "w2", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), pa.array(starts, pa.int32())], names=["w1", "w2", "id", "twin", "at"])
 
-    many = scratch.write(again.where(F.col("k") > LARGE).mapInArrow(explode, "w1 long, w2 long, id long, at int"), "windows")
-    lead = many.groupBy("w1", "w2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    counted = many.join(lead, ["w1", "w2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first"))).select("id", "at", F.lit(1).alias("n"))
+    many = scratch.write(again.where(F.col("k") > LARGE).mapInArrow(explode, "w1 long, w2 long, id long, twin long, at int"), "windows")
+    lead = scratch.write(many.groupBy("w1", "w2").agg(F.min(F.struct("id", "twin", "at")).alias("first"), F.count("*").alias("c")).where("c > 1"), "lead")
+    counted = many.join(lead, ["w1", "w2"]).where(~F.struct("id", "twin", "at").eqNullSafe(F.col("first"))).select("id", "twin", "at", F.lit(1).alias("n"))
     return found.unionAll(sorted_repeats(again.where(F.col("k") <= LARGE), "core")).unionAll(counted)
 
 
@@ -287,9 +294,9 @@ def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
 def dedup(spark: SparkSession, docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """(key, n_bytes, removed array<struct<start, end>>, kept_sha256[, kept binary]) of every row."""
     scratch = Scratch(spark, "substrings")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    rows = tagged(docs, key, text, scratch)
     found = repeats(spark, rows, scratch, length)
-    by_text = found.groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))  # at most a document's runs
+    by_text = found.groupBy("id", "twin").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))  # at most a document's runs
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 200):
@@ -310,7 +317,7 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = 100, key: str = "d
             columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep, names=[key, "n_bytes", "removed", "kept_sha256"] + ["kept"] * keep)
 
-    joined = rows.join(by_text, "id", "left").select("id", "text", "ranges")
+    joined = rows.join(by_text, ["id", "twin"], "left").select("id", "text", "ranges")
     return joined.mapInArrow(clean, f"{key} long, n_bytes long, removed array<struct<start: long, end: long>>, kept_sha256 string" + ", kept binary" * keep)
 
 

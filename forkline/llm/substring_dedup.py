@@ -13,8 +13,10 @@ finds the repeated spans, and a join that adaptive execution can split finds the
 passage that a third of all documents share is no task's burden. The texts meet the sentences to
 remove once, by document.
 
-Cases: a null or empty text has no sentence and stays as it is, as does one without words; repeated rows with one id keep what the first place keeps, as their
-places are equal (no row is taken for a copy of itself); an empty table gives an empty result; other
+Cases: a null or empty text has no sentence and stays as it is, as does one without words; repeated
+rows with one id keep what the first place keeps, as their places are equal (no row is taken for a
+copy of itself); different texts under one id are different documents, in the order of the texts'
+hashes; a null id counts as the smallest id; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import Scratch, batches, strings
+from forkline.llm.common import NO_ID, Scratch, batches, strings, tagged
 
 #: Words that make a single sentence a span.
 LONG_WORDS = 50
@@ -72,36 +74,40 @@ def spans(text: str, min_sentences: int, min_words: int, long_words: int = LONG_
     return out
 
 
-def find_spans(docs: DataFrame, min_sentences: int, min_words: int, key: str, text: str) -> DataFrame:
-    """(h1, h2, id, at, n): every span of every document."""
+def find_spans(rows: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """(h1, h2, id, twin, at, n): every span of every document; ``rows`` has id, twin and text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 200):
-            ids, at, n, raw = [], [], [], []
-            for i, x in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
+            row, at, n, raw = [], [], [], []
+            for k, x in enumerate(strings(b.column(2))):
                 for a, m, h in spans(x, min_sentences, min_words):
-                    ids.append(i)
+                    row.append(k)
                     at.append(a)
                     n.append(m)
                     raw.append(h)
-            h = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["h1", "h2", "id", "at", "n"])
+            h, of = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2), pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(of), b.column(1).take(of), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["h1", "h2", "id", "twin", "at", "n"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "h1 long, h2 long, id long, at int, n int")
+    return rows.mapInArrow(run, "h1 long, h2 long, id long, twin long, at int, n int")
 
 
-def covered(spark: SparkSession, docs: DataFrame, min_sentences: int = 2, min_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, runs): for each document with removals, its runs (at, n) of sentences at non-first places."""
-    scratch = Scratch(spark, "spans")
-    found = scratch.write(find_spans(docs, min_sentences, min_words, key, text), "found")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1")
-    later = found.join(first, ["h1", "h2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
-    return later.select("id", F.struct("at", "n").alias("run")).groupBy("id").agg(F.array_sort(F.collect_set("run")).alias("runs"))  # at most a text's sentences
+def covered(rows: DataFrame, scratch: Scratch, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
+    """(id, twin, runs): for each document with removals, its runs (at, n) of sentences at non-first places."""
+    found = scratch.write(find_spans(rows, min_sentences, min_words), "found")
+    place = F.struct("id", "twin", "at")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
+    # written, so that both sides of the join come from plain exchanges, which can be split where a span is frequent
+    first = scratch.write(first.select("h1", "h2", "first"), "first")
+    later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return later.select("id", "twin", F.struct("at", "n").alias("run")).groupBy("id", "twin").agg(F.array_sort(F.collect_set("run")).alias("runs"))  # at most a text's sentences
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_sentences: int = 2, min_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_sentences, removed array<int>, kept string): the texts without repeated sentences."""
-    runs = covered(spark, docs, min_sentences, min_words, key, text)
+    scratch = Scratch(spark, "spans")
+    rows = tagged(docs, key, text, scratch)
+    runs = covered(rows, scratch, min_sentences, min_words)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 200):
@@ -114,8 +120,7 @@ def dedup(spark: SparkSession, docs: DataFrame, min_sentences: int = 2, min_word
                 kept.append("".join([x[a:e] for i, (a, e) in enumerate(parts) if i not in gone]) if gone else x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=[key, "n_sentences", "removed", "kept"])
 
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
-    joined = rows.join(runs.withColumnRenamed("id", key), key, "left").select(key, "text", "runs")
+    joined = rows.join(runs, ["id", "twin"], "left").select(F.nullif("id", F.lit(NO_ID)).alias(key), "text", "runs")
     return joined.mapInArrow(cut, f"{key} long, n_sentences int, removed array<int>, kept string")
 
 

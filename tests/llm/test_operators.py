@@ -207,6 +207,38 @@ def test_exact_substrings_keeps_repeated_rows(spark, docs):
     assert sorted((r["doc_id"] is None, len(r["removed"])) for r in rows) == [(False, 1), (False, 1), (True, 0)]
 
 
+def repeated_ids() -> list[tuple[int | None, str]]:
+    """Two texts under id 2, one a copy of id 1; null ids with different and with equal texts; equal rows."""
+    one, other = prose(70, 90), prose(71, 90)
+    return [(1, one), (2, one), (2, other), (2, other), (None, other), (None, prose(72, 90)), (None, prose(72, 90)), (3, prose(72, 90) + " Tail here."), (4, "")]
+
+
+def in_order(rows: list[tuple[int | None, str]], spark) -> dict[int, tuple[int | None, str]]:
+    """The documents of ``rows`` numbered in the order that ties of ids are given (hash of the text)."""
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    return dict(enumerate(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))))
+
+
+def test_exact_substrings_tell_texts_of_one_id_apart(spark):
+    rows = repeated_ids()
+    order = in_order(rows, spark)
+    want = exact_substrings.brute_force({k: t.encode() for k, (_, t) in order.items()}, 100)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = exact_substrings.dedup(spark, d, keep=True).collect()
+    left = lambda t, gone: "".join(c for i, c in enumerate(t) if not any(a <= i < b for a, b in gone))
+    number = {v: k for k, v in order.items()}
+    assert sorted((str(r["doc_id"]), r["kept"].decode()) for r in got) == sorted((str(i), left(t, want[number[i, t]])) for i, t in rows)
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    rows = repeated_ids()
+    order = in_order(rows, spark)
+    want = substring_dedup.brute_force({k: t for k, (_, t) in order.items()}, 2, 20)
+    number = {v: k for k, v in order.items()}
+    got = substring_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in got) == sorted((str(i), want[number[i, t]]) for i, t in rows)
+
+
 # 6
 def test_substring_dedup(spark, docs, empty):
     got = {r["doc_id"]: r["kept"] for r in substring_dedup.dedup(spark, docs).collect()}
