@@ -6,17 +6,19 @@ of fewer words is one shingle). A shingle's weight is its rarity among the bench
 * A document is slid over in windows as long as an item. A window that shares no shingle with any
   item of its length has similarity zero with all of them, so only windows around shared
   shingles are fingerprinted; nothing else is left out.
+* A window is compared with the items of its own length, held as one index a length.
 * A window's 64-bit SimHash is the sign of weighted bit sums, kept as running sums.
 * Multi-index: the 64 bits are cut into ``BLOCKS`` blocks. Within ``RADIUS`` bits of an item, some
-  block differs by at most ``RADIUS // BLOCKS`` bits; candidates are the items that do so in any
-  block, and the whole distance is checked after. The guarantee holds for every fingerprint in the
+  block differs by at most ``RADIUS // BLOCKS`` bits; each block holds, for each of its values, the
+  items that do so. A window looks up its seven lists, and the whole distance is checked after. The guarantee holds for every fingerprint in the
   radius; at similarity 0.8 the distance has mean 9.7 and standard deviation 2.9, so the radius of
   20 leaves out about one match at the threshold in 5,000 and hardly any above it.
-* Candidates are decided by the exact weighted Jaccard similarity of shingle counts.
+* Candidates are decided by the exact weighted Jaccard similarity of shingle counts; a shingle that
+  the item doesn't hold has the weight of one found in a single item.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text, each sent to the tasks; the
 documents are a stream of Arrow batches and never shuffled. A benchmark of any size is so many
-passes.
+passes; shingles are counted over all of it first, so blocks don't change similarities.
 
 Cases: null and empty texts and items without words match nothing; a document shorter than an
 item is one window; repeated items each report their matches, repeated rows theirs; of windows with
@@ -30,6 +32,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import batches, strings
+from forkline.llm.common import Scratch, batches, strings
 
 SHINGLE = 5
 RADIUS = 20
@@ -53,25 +56,60 @@ def shingles(words: list[str], k: int) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(k)), strict=False))
 
 
+def gram_hash(gram: tuple[str, ...]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(gram)) - 2**63
+
+
 def _edges() -> list[int]:
     return [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
+class Band:
+    """Multi-index of the fingerprints of items of one length.
+
+    For every value of each block it holds the items within ``RADIUS // BLOCKS`` bits of it, so a
+    window's candidates are looked up, not found by going through the items.
+    """
+
+    def __init__(self, prints: np.ndarray, items: np.ndarray):
+        self.prints, self.items, self.tables = prints, items, []
+        for a, b in zip(_edges(), _edges()[1:], strict=False):
+            own = (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+            lists = [np.flatnonzero(np.bitwise_count(own ^ np.uint64(v)) <= RADIUS // BLOCKS) for v in range(1 << (b - a))]
+            ends = np.cumsum([0, *map(len, lists)])
+            self.tables.append((a, b, ends, np.concatenate(lists)))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in the band) of all pairs within the radius."""
+        met = []
+        for a, b, ends, lists in self.tables:
+            v = ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+            n = ends[v + 1] - ends[v]
+            w = np.repeat(np.arange(len(prints)), n)
+            at = np.repeat(ends[v] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            met.append(w * len(self.prints) + lists[at])
+        w, i = np.divmod(np.unique(np.concatenate(met)), len(self.prints))
+        close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+        return w[close], i[close]
+
+
 class Index:
-    """Items of one block of the benchmark with their shingles, weights and fingerprints."""
+    """Items of one block of the benchmark with their shingles, weights and fingerprints.
+
+    ``df``: in how many of the whole benchmark's ``n`` items each shingle (by hash) occurs; without it
+    the items are the whole benchmark.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, df: dict[int, int] | None = None, n: int | None = None):
         self.threshold = threshold
         self.items = [(i, w) for i, x in items if (w := words_of(x))]
-        self.size = np.array([len(w) for _, w in self.items], dtype=np.int64)
         self.k = [min(SHINGLE, len(w)) for _, w in self.items]
         self.counts = [Counter(shingles(w, k)) for (_, w), k in zip(self.items, self.k, strict=True)]
-        df = Counter(s for c in self.counts for s in c)
-        n = max(1, len(self.items))
+        own = Counter(s for c in self.counts for s in c)
+        n = max(1, len(self.items) if n is None else n)
         self.rare = 1 + math.log(n)
-        self.weight = {s: 1 + math.log(n / d) for s, d in df.items()}
+        self.weight = {s: 1 + math.log(n / (d if df is None else df[gram_hash(s)])) for s, d in own.items()}
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
-        self.lengths: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         keys: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for (_, ws), k in zip(self.items, self.k, strict=True):
             ids = np.array([self.vocabulary[w] for w in ws], dtype=np.uint64)
@@ -80,11 +118,8 @@ class Index:
         # per shingle length: sorted keys and the item lengths that hold each
         self.keys = {k: (np.array(sorted(of), dtype=np.uint64), [sorted(of[x]) for x in sorted(of)]) for k, of in keys.items()}
         self.prints = np.array([self._print(c) for c in self.counts], dtype=np.uint64)
-        self.tables = []
-        for a, b in zip(_edges(), _edges()[1:], strict=False):
-            values = np.arange(1 << (b - a), dtype=np.uint64)
-            own = (self.prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            self.tables.append((a, b, values, own))
+        sizes = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        self.bands = {int(m): Band(self.prints[at], at) for m in np.unique(sizes) for at in [np.flatnonzero(sizes == m)]}
 
     @staticmethod
     def _keys(ids: np.ndarray, k: int) -> np.ndarray:
@@ -117,26 +152,14 @@ class Index:
         signs = self._signs(grams) * np.array([counts[g] for g in grams])[:, None]
         return int(self._pack(signs.sum(0)[None])[0])
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within the radius, by way of the blocks."""
-        out_w, out_i, slack = [], [], RADIUS // BLOCKS
-        for at in range(0, len(self.prints), 1024):
-            found = np.zeros((len(prints), min(1024, len(self.prints) - at)), dtype=bool)
-            for a, b, values, own in self.tables:
-                hit = np.bitwise_count(values[:, None] ^ own[None, at : at + 1024]) <= slack
-                found |= hit[((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)]
-            w, i = np.nonzero(found)
-            close = np.bitwise_count(prints[w] ^ self.prints[at + i]) <= RADIUS
-            out_w.append(w[close])
-            out_i.append(i[close] + at)
-        return (np.concatenate(out_w), np.concatenate(out_i)) if out_w else (np.zeros(0, int), np.zeros(0, int))
-
-    def similarity(self, a: Counter, b: Counter) -> float:
+    def similarity(self, window: Counter, item: Counter) -> float:
+        """Weighted Jaccard similarity of shingle counts; what the item doesn't hold weighs as the rarest."""
         both = union = 0.0
-        for s in a.keys() | b.keys():
-            w = self.weight.get(s, self.rare)
-            both += w * min(a[s], b[s])
-            union += w * max(a[s], b[s])
+        for s, n in item.items():
+            w, m = self.weight[s], window[s]
+            both += w * min(m, n)
+            union += w * max(m, n)
+        union += self.rare * sum(m for s, m in window.items() if s not in item)
         return both / union if union else 0.0
 
     def matches(self, text: str) -> list[tuple[int, float, int, int]]:
@@ -164,6 +187,7 @@ class Index:
         return [(self.items[i][0], s, a, m) for i, (s, a, m) in sorted(best.items())]
 
     def _look(self, words: list[str], n: int, k: int, lo: int, hi: int, best: dict) -> None:
+        band = self.bands[n]
         for a in range(lo, hi + 1, 4096):
             b = min(a + 4095, hi)
             region = words[a : b + n]
@@ -174,11 +198,9 @@ class Index:
             count = size - k + 1
             sums = np.concatenate([np.zeros((1, 64)), np.cumsum(self._signs(grams), axis=0)])
             first = np.arange(0, max(1, len(grams) - count + 1))
-            w, i = self.near(self._pack(sums[first + count] - sums[first]))
+            w, i = band.near(self._pack(sums[first + count] - sums[first]))
             counts: dict[int, Counter] = {}
-            for x, item in zip(w.tolist(), i.tolist(), strict=True):
-                if self.k[item] != k:
-                    continue
+            for x, item in zip(w.tolist(), band.items[i].tolist(), strict=True):
                 if x not in counts:
                     counts[x] = Counter(grams[x : x + count])
                 s = self.similarity(counts[x], self.counts[item])
@@ -199,27 +221,52 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _indexes: dict[str, Index] = {}
 
 
-def blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in pieces of about ``block_bytes``; the driver holds one at a time."""
+def blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int, scratch: Scratch) -> Iterator[tuple[list[tuple[int, str]], dict[int, int] | None, int | None]]:
+    """(items, how many of all items hold each of their shingles, number of all items) of pieces of about ``block_bytes``.
+
+    The driver holds one piece at a time; the counts are over the whole benchmark, so a similarity
+    doesn't depend on how the items are dealt to pieces. One piece is all there is: it counts itself.
+    """
     total = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     n = max(1, -(-total // block_bytes))
+    rows = benchmark.select(F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("block"), F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    if n == 1:
+        yield sorted(((r["item"], r["text"] or "") for r in rows.collect()), key=order), None, None
+        return
+
+    def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 200):
+            block, gram = [], []
+            for k, x in zip(b.column(0).to_pylist(), strings(b.column(2)), strict=True):
+                words = words_of(x)
+                own = {gram_hash(g) for g in shingles(words, min(SHINGLE, len(words)))} if words else set()
+                block += [k] * (len(own) + bool(words))
+                gram += [*own, *[None] * bool(words)]  # a null counts the item itself
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(gram, pa.int64())], names=["block", "gram"])
+
+    held = scratch.write(rows.mapInArrow(grams, "block int, gram long"), "grams")
+    items = held.where("gram IS NULL").count()
+    df = scratch.write(held.where("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("d")), "df")
+    known = scratch.write(held.select("block", "gram").distinct().join(df, "gram"), "known")
     for b in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == b) if n > 1 else benchmark
-        yield sorted(((r[0], r[1] or "") for r in part.select(F.col(key).cast("long"), text).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        part = sorted(((r["item"], r["text"] or "") for r in rows.where(F.col("block") == b).collect()), key=order)
+        yield part, {r["gram"]: r["d"] for r in known.where(F.col("block") == b).collect()}, items
 
 
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """(key, item_id, similarity, first_word, n_words): every document and item that match."""
-    rows, out = docs.select(F.col(key).cast("long").alias(key), text), None
+    rows, parts = docs.select(F.col(key).cast("long").alias(key), text), []
     schema = f"{key} long, item_id long, similarity double, first_word long, n_words long"
-    for items in blocks(benchmark, item_key, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(items)  # at most block_bytes of text
-        name = f"{threshold}/{xxhash.xxh3_128_hexdigest(repr(items))}"
+    scratch = Scratch(spark, "contamination")
+    for items, df, n in blocks(benchmark, item_key, item_text, block_bytes, scratch):
+        sent = spark.sparkContext.broadcast((items, df, n))  # at most block_bytes of text and its shingles' counts
+        name = f"{threshold}/{n}/{xxhash.xxh3_128_hexdigest(repr(items))}"
 
         def run(it: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             if name not in _indexes:
                 _indexes.clear()
-                _indexes[name] = Index(sent.value, threshold)
+                _indexes[name] = Index(sent.value[0], threshold, *sent.value[1:])
             index = _indexes[name]
             for b in batches(it, 200):
                 got = [(i, *m) for i, x in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True) for m in index.matches(x)]
@@ -228,8 +275,11 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "item_id", "similarity", "first_word", "n_words"])
 
         part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+        if n is None:
+            return part
+        parts.append(scratch.write(part, f"part-{len(parts)}"))  # before the next piece is held
+        sent.unpersist()
+    return reduce(DataFrame.unionAll, parts)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,16 +288,3 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     marked = docs.withColumn(tag, F.xxhash64(key, text))
     bad = find(spark, marked, benchmark, threshold, key=tag, text=text).select(tag).distinct()
     return marked.join(bad, tag, "left_anti").drop(tag)
-
-
-def brute_force(texts: dict[int, str], items: dict[int, str], threshold: float = 0.8) -> dict[tuple[int, int], float]:
-    """Best similarity of every window of every document, without fingerprints; for tests."""
-    index, out = Index(sorted(items.items()), threshold), {}
-    for d, x in texts.items():
-        words = words_of(x or "")
-        for (item, ws), counts, k in zip(index.items, index.counts, index.k, strict=True):
-            n = len(ws)
-            best = max((index.similarity(Counter(shingles(words[a : a + n], k)), counts) for a in range(max(1, len(words) - n + 1))), default=0.0)
-            if best >= threshold:
-                out[d, item] = best
-    return out

@@ -67,16 +67,40 @@ def test_components(spark):
 
 
 # 1
+def plain_matches(docs: dict[int, str], items: dict[int, str], threshold: float = 0.8) -> dict[tuple[int, int], float]:
+    """Best similarity over all windows of each item's length, from the definitions alone."""
+    import math
+    from collections import Counter
+
+    grams = lambda w, k: Counter(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+    split = {i: re.findall(r"\w+", x.lower()) for i, x in items.items()}
+    split = {i: w for i, w in split.items() if w}
+    counts = {i: grams(w, min(5, len(w))) for i, w in split.items()}
+    df, out = Counter(g for c in counts.values() for g in c), {}
+    for d, x in docs.items():
+        words = re.findall(r"\w+", x.lower())
+        for i, c in counts.items():
+            n = len(split[i])
+            for a in range(max(1, len(words) - n + 1)):
+                window = grams(words[a : a + n], min(5, n))
+                low = sum((1 + math.log(len(counts) / df[g])) * min(m, window[g]) for g, m in c.items())
+                high = sum((1 + math.log(len(counts) / df[g])) * max(m, window[g]) for g, m in c.items()) + sum((1 + math.log(len(counts))) * m for g, m in window.items() if g not in c)
+                if high and low / high >= threshold:
+                    out[d, i] = max(out.get((d, i), 0), low / high)
+    return out
+
+
 def test_decontamination(spark, docs, empty):
     t = texts()
     items = {1: " ".join((t[5] or "").split()[10:40]).upper(), 2: prose(500, 20), 3: None, 4: "", 5: "word", 6: " ".join((t[19]).split()[3000:3050]), 7: " ".join((t[8]).split()[20:60]).replace(" ", " , ", 3)}
+    items |= {8: " ".join((t[5] or "").split()[10:38]) + " own end", 9: " ".join((t[8]).split()[24:60]) + " and more words"}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.find(spark, docs, bench).collect()}
-    want = decontamination.brute_force({k: v or "" for k, v in t.items()}, {k: v or "" for k, v in items.items()})
+    found = lambda **kw: {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.find(spark, docs, bench, **kw).collect()}
+    got = found()
+    want = plain_matches({k: v or "" for k, v in t.items()}, {k: v or "" for k, v in items.items()})
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert {(5, 1), (18, 1), (19, 6), (20, 5), (8, 7)} <= set(got)
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontamination.find(spark, docs, bench, block_bytes=200).collect()}
-    assert blocks == set(got)
+    assert found(block_bytes=200) == pytest.approx(got)
     kept = {r["doc_id"] for r in decontamination.drop_contaminated(spark, docs, bench).collect()}
     assert kept == set(t) - {d for d, _ in got}
     assert decontamination.find(spark, empty, bench).isEmpty() and decontamination.find(spark, docs, bench.limit(0)).isEmpty()
@@ -85,11 +109,12 @@ def test_decontamination(spark, docs, empty):
 
 def test_decontamination_radius_is_complete():
     index = decontamination.Index([(i, prose(i, 30)) for i in range(40)], 0.8)
+    band = index.bands[30]
     rng = np.random.default_rng(5)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 26)), replace=False)) for _ in range(300)], dtype=np.uint64)
     prints = index.prints[rng.integers(0, 40, 300)] ^ flips
-    w, i = index.near(prints)
-    near = np.bitwise_count(prints[:, None] ^ index.prints[None, :]) <= decontamination.RADIUS
+    w, i = band.near(prints)
+    near = np.bitwise_count(prints[:, None] ^ band.prints[None, :]) <= decontamination.RADIUS
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(near)), strict=True))
 
 
