@@ -4,7 +4,7 @@
 2. The second-moment matrix of the unit vectors (a sum per partition, bounded by the dimension)
    gives the rotation to principal axes, largest energy first.
 3. A k-d tree over leading axes, fitted on a bounded sample of unit vectors (``sample`` rows),
-   deals every class to a leaf; leaves are cut by hash into tiles of about ``tile`` rows, however
+   deals every class to a leaf; leaves are cut by hash into tiles of about ``TILE_BYTES``, however
    many fall into one. Each leaf's exact bounding box over all its rows, in all axes, is
    aggregated; a pair of leaves whose boxes are further apart than the threshold allows holds no
    link and is skipped.
@@ -17,8 +17,8 @@
 
 The leaves' boxes and the tree are bounded by ``leaves``, not by the table.
 
-Cases: a vector that is null, empty, zero or holds null or non-finite components, or whose length
-isn't the most frequent one, links with nothing and is its own component; equal vectors link with
+Cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing
+and is its own component; vectors link within their length only; equal vectors link with
 each other; repeated rows count as vectors; an empty table gives an empty result; labels and other
 columns are ignored.
 """
@@ -26,6 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ from forkline.llm.common import Scratch, connected_components, forest
 #: Room for rounding in single precision on unit vectors.
 SLACK = 2e-5
 STEP = 16
+#: Components of a tile. A tile is sent once for each partner, so what is sent is the square of the table over this.
+TILE_BYTES = 4 << 20
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,24 +157,46 @@ def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", tile: int = 2048, leaves: int = 1024, sample: int = 20_000) -> DataFrame:
-    """(key, n_links, component, kept) for every row of ``vectors``."""
+def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", tile: int | None = None, leaves: int = 1024, sample: int = 20_000) -> DataFrame:
+    """(key, n_links, component, kept) for every row of ``vectors``.
+
+    ``tile``: rows of a tile; by default as many as ``TILE_BYTES`` hold.
+    """
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
-    common = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = common["d"] if common else 0
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x, good = matrix(b.column(1), dim)
-            raw = (x + 0.0).astype("<f8")  # -0 and 0 alike
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() if g else None for r, g in zip(raw, good, strict=True)], pa.binary())], names=["id", "raw"])
+            raw: list[bytes | None] = [None] * b.num_rows
+            for dim in set(b.column(1).value_lengths().to_pylist()) - {None, 0}:
+                x, good = matrix(b.column(1), dim)
+                x = (x + 0.0).astype("<f8")  # -0 and 0 alike
+                for k in np.flatnonzero(good).tolist():
+                    raw[k] = x[k].tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
     packed = scratch.write(rows.mapInArrow(pack, "id long, raw binary"), "packed")
     classes = packed.where("raw is not null").groupBy("raw").agg(F.min("id").alias("class"), F.count("*").alias("n"))
     # two classes never share a least id unless ids repeat; the hash tells those apart
-    classes = scratch.write(classes.select(F.xxhash64("raw", "class").alias("node"), "class", "n", "raw"), "classes")
-    n_classes = classes.count()
+    dim = (F.length("raw") / 8).cast("int")
+    classes = scratch.write(classes.select(F.xxhash64("raw", "class").alias("node"), "class", "n", "raw", dim.alias("dim")), "classes")
+    # vectors of different lengths have no cosine: each length is compared by itself
+    lengths = sorted((r["dim"], r["count"]) for r in classes.groupBy("dim").count().where("count > 1").collect())
+    parts = [links(spark, classes.where(F.col("dim") == d), d, n, threshold, tile or max(256, TILE_BYTES // (8 * d)), leaves, sample, scratch) for d, n in lengths]
+    none = spark.createDataFrame([], "src long, dst long, links long")
+    matched = scratch.write(reduce(DataFrame.unionAll, parts, none), "matched")
+    roots = connected_components(spark, matched.select("src", "dst"), scratch)
+    links_of = matched.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("others"))
+    known = classes.join(links_of, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = known.groupBy("root").agg(F.min("class").alias("component"))
+    of = known.join(least, "root").select("raw", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")
+    out = packed.join(scratch.write(of, "of"), "raw", "left")
+    component = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def links(spark: SparkSession, classes: DataFrame, dim: int, n_classes: int, threshold: float, tile: int, leaves: int, sample: int, scratch: Scratch) -> DataFrame:
+    """(src, dst, links): per pair of tiles, each class's links there and a spanning forest; all of one length."""
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
@@ -194,7 +219,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
                 leaf = axes.leaf(unit(rows_of(b.column(3).to_pylist(), dim)) @ axes.rotation)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column(0), b.column(2), b.column(3)], names=["leaf", "node", "n", "raw"])
 
-    dealt = classes.mapInArrow(deal, "leaf int, node long, n long, raw binary")
+    dealt = classes.select("node", "class", "n", "raw").mapInArrow(deal, "leaf int, node long, n long, raw binary")
 
     def boxes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, count = {}, {}, {}
@@ -227,7 +252,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
     # a group is one tile: about ``tile`` rows, as leaves are cut by their exact counts
     grouped = tiles.groupBy("leaf", "piece").applyInArrow(lambda t: pa.Table.from_batches(list(blob(iter(t.to_batches()))) or []), "leaf int, piece int, nodes binary, counts binary, rows binary")
-    blobs = scratch.write(grouped, "tiles")
+    blobs = scratch.write(grouped, f"tiles-{dim}")
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -252,18 +277,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
                 j = j if same else j + len(x)
                 total = len(x) if same else len(x) + len(y)
                 names, many = (nodes[0], n[0]) if same else (np.concatenate(nodes), np.concatenate(n))
-                links = np.bincount(i, many[j], total) + np.bincount(j, many[i], total)
+                count = np.bincount(i, many[j], total) + np.bincount(j, many[i], total)
                 root = forest(total, i, j)
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]]), pa.array(links[at].astype(np.int64))], names=["src", "dst", "links"])
+                at = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]]), pa.array(count[at].astype(np.int64))], names=["src", "dst", "links"])
 
     one, two = (blobs.select(F.col("leaf").alias(f"l{k}"), F.col("piece").alias(f"p{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("nodes", "counts", "rows"))) for k in (1, 2))
-    matched = scratch.write(pairs.join(one, ["l1", "p1"]).join(two, ["l2", "p2"]).mapInArrow(match, "src long, dst long, links long"), "matched")
-    roots = connected_components(spark, matched.select("src", "dst"), scratch)
-    links = matched.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("others"))
-    known = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("class").alias("component"))
-    of = known.join(least, "root").select("raw", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")
-    out = packed.join(scratch.write(of, "of"), "raw", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
+    return pairs.join(one, ["l1", "p1"]).join(two, ["l2", "p2"]).mapInArrow(match, "src long, dst long, links long")

@@ -602,5 +602,8 @@ def test_embeddings(spark):
     for i in range(len(x)):
         assert (got[i]["n_links"], got[i]["component"], got[i]["kept"]) == (int(link[i].sum()), int(root[i]), bool(root[i] == i)), i
     assert all((got[i]["n_links"], got[i]["component"], got[i]["kept"]) == (0, i, True) for i in range(1000, 1007))
+    short = [(2000, [1.0, 2.0], 1), (2001, [1.0, 2.0], 1), (2002, [2.0, 4.1], 1), (2003, [-2.0, 1.0], 1), (2004, [1.0, 2.0, 0.0], 1), (2005, [3.0], 1), (2006, [5.0], 1)]
+    few = {r["vec_id"]: (r["n_links"], r["component"]) for r in embedding_dedup.near_duplicates(spark, spark.createDataFrame(short, d.schema)).collect()}
+    assert few == {2000: (2, 2000), 2001: (2, 2000), 2002: (2, 2000), 2003: (0, 2003), 2004: (0, 2004), 2005: (1, 2005), 2006: (1, 2005)}
     assert embedding_dedup.near_duplicates(spark, d.where("vec_id < 0")).isEmpty()
     assert embedding_dedup.near_duplicates(spark, d.where("vec_id >= 1000")).count() == 7
