@@ -52,6 +52,7 @@ def state_condition(text: Column) -> Column:
 def random_outcomes(rule: Column) -> Column:
     """How many of the digits 0 to 9 satisfy a rule; null where its wording isn't known."""
     low = F.regexp_replace(F.lower(rule), "[–—−]", "-")
+    # The wordings of a draw, in order of precedence.
     digit = lambda pattern, k=1: F.regexp_extract(low, pattern, k).try_cast("int")
     interval, lower, higher, single = r"\b([0-9])\s*-\s*([0-9])\b", r"\b([0-9])\s+or\s+lower\b", r"\b([0-9])\s+or\s+higher\b", r"\bpick(?:ed)?\s+(?:a\s+)?([0-9])\b"
     width = digit(interval, 2) - digit(interval, 1) + 1

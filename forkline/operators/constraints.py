@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline import schemas
+from forkline.functions.text import is_finite
 
 
 def violations(df: DataFrame, check: str, key: Column, bad: Column, detail: Column | None = None) -> DataFrame:
@@ -93,7 +94,19 @@ def profiles(table: DataFrame) -> DataFrame:
     bad = ~F.col("profile_id").rlike("^[A-Za-z0-9_-]+$")
     for axis, levels in schemas.LEVELS.items():
         bad = bad | ~F.col(axis).isin(*levels)
-    return all_of(duplicates(table, ["profile_id"], "profile twice"), violations(table, "profile outside the design", F.col("profile_id"), F.coalesce(bad, F.lit(True))))
+    none = table.agg(F.count("*").alias("n"))
+    return all_of(
+        keys(table, schemas.PROFILES.names, "profile keys"),
+        violations(none, "no profile", F.lit(""), F.col("n") == 0),
+        duplicates(table, ["profile_id"], "profile twice"),
+        violations(table, "profile outside the design", F.col("profile_id"), F.coalesce(bad, F.lit(True))),
+    )
+
+
+def keys(table: DataFrame, expected: list[str], check: str) -> DataFrame:
+    """Columns that are missing or not expected."""
+    odd = [(check, k, "missing") for k in expected if k not in table.columns] + [(check, k, "not expected") for k in table.columns if k not in expected]
+    return table.sparkSession.createDataFrame(odd, "check string, key string, detail string")
 
 
 def settings(table: DataFrame) -> DataFrame:
@@ -102,7 +115,8 @@ def settings(table: DataFrame) -> DataFrame:
     p = ("kai_availability", "combat_win_probability", "escape_probability", "has_condition")
     a = ("matching", "neutral", "opposed")
     checks = [violations(table, "not a probability", F.lit(n), ~is_probability(F.col(n))) for n in p]
-    return all_of(*checks, *(violations(table, "not a positive number", F.lit(n), ~is_positive(F.col(f"choice_affinities.{n}"))) for n in a))
+    expected = ["kai_availability", "combat_win_probability", "escape_probability", "has_condition", "choice_affinities"]
+    return all_of(keys(table, expected, "settings keys"), *checks, *(violations(table, "not a positive number", F.lit(n), ~is_positive(F.col(f"choice_affinities.{n}"))) for n in a))
 
 
 def same_rows(a: DataFrame, b: DataFrame, check: str) -> DataFrame:
@@ -117,3 +131,45 @@ def absorbing(weights: DataFrame, allowed: tuple[str, ...] = ("Death", "Win")) -
     """Only the outcomes absorb."""
     loops = weights.where((F.col("source_id") == F.col("target_id")) & (F.col("w") >= 1 - 1e-12))
     return violations(loops, "another node absorbs", F.concat_ws(":", "profile_id", "source_id"), ~F.col("source_id").isin(*allowed))
+
+
+def largest_error(weights: DataFrame) -> DataFrame:
+    """(error): the largest distance of a source's sum of outgoing weights from one."""
+    return weights.groupBy("profile_id", "source_id").agg(F.abs(F.sum("w") - 1).alias("e")).agg(F.max("e").alias("error"))
+
+
+def matrix(weights: DataFrame, outcomes: tuple[str, ...] = ("Death", "Win")) -> DataFrame:
+    """Shape of a transition matrix: every target is a source, the outcomes are there, weights are finite."""
+    row = lambda c: F.concat_ws(":", "profile_id", c)
+    sources, targets = weights.select("profile_id", F.col("source_id").alias("k")).distinct(), weights.select("profile_id", F.col("target_id").alias("k")).distinct()
+    lost = targets.join(sources, ["profile_id", "k"], "left_anti")
+    ends = weights.groupBy("profile_id").agg(F.collect_set(F.when(F.col("source_id").isin(*outcomes), F.col("source_id"))).alias("has"))
+    absent = ends.select("profile_id", F.explode(F.array_except(F.array(*map(F.lit, outcomes)), "has")).alias("k"))
+    return all_of(
+        violations(lost, "target without a row", row("k"), F.lit(True)),
+        violations(absent, "outcome without a row", row("k"), F.lit(True)),
+        violations(weights, "weight not finite", F.concat_ws("->", row("source_id"), F.col("target_id")), ~is_finite(F.col("w"))),
+    )
+
+
+def absorption(solved: DataFrame, outcomes: tuple[str, ...] = ("Death", "Win"), tolerance: float = 1e-9) -> DataFrame:
+    """Chances of the outcomes sum to one from every node."""
+    total = reduce(lambda a, b: a + b, (F.col(f"p_{o.lower()}") for o in outcomes))
+    return violations(solved, "chances don't sum to one", F.concat_ws(":", "profile_id", "node_id"), ~F.coalesce(F.abs(total - 1) <= tolerance, F.lit(False)), total)
+
+
+def continuations(edges: DataFrame, fights: DataFrame) -> DataFrame:
+    """What a simulation needs of compiled edges: sources with a way out of positive weight, and fights
+    (node_id) with one that is neither an escape nor Death."""
+    flee = (F.col("condition_kind") == "combat_outcome") & (F.col("condition_value") == "escape")
+    on = F.sum(F.when(~flee & (F.col("target_id") != "Death"), F.col("compiled_weight")))
+    mass = edges.groupBy("source_id").agg(F.sum("compiled_weight").alias("mass"), on.alias("on"))
+    at = fights.select(F.col("node_id").alias("source_id")).distinct().join(mass, "source_id", "left")
+    return all_of(
+        violations(mass, "no way out has weight", F.col("source_id"), ~F.coalesce(F.col("mass") > 0, F.lit(False))),
+        violations(at, "fight without a continuation", F.col("source_id"), ~F.coalesce(F.col("on") > 0, F.lit(False))),
+    )
+
+
+def digits(rows: DataFrame, column: str) -> DataFrame:
+    return violations(rows, "not a digit", F.col(column), ~F.coalesce(F.col(column).between(0, 9), F.lit(False)))

@@ -40,6 +40,26 @@ def share(df: DataFrame, value: str, by: list[str], name: str = "share") -> Data
 
 
 def change_from(df: DataFrame, value: str, is_reference: Column, by: list[str] | None = None, name: str = "delta") -> DataFrame:
-    """Each row's difference from its group's reference row."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return df.withColumn(name, F.col(value) - F.max(F.when(is_reference, F.col(value))).over(w))
+    """Each row's difference from its group's reference row; without ``by`` the one reference row is sent to all."""
+    reference = F.max(F.when(is_reference, F.col(value)))
+    if by:
+        return df.withColumn(name, F.col(value) - reference.over(Window.partitionBy(*by)))
+    return df.crossJoin(F.broadcast(df.agg(reference.alias("__base")))).withColumn(name, F.col(value) - F.col("__base")).drop("__base")
+
+
+def numbered(df: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """Rows numbered in the order of partitions: each partition begins where those before it end.
+
+    ``df`` must come out alike twice (a scan, or a checkpointed sort); only a row a partition is gathered.
+    """
+    own = df.withColumn("__id", F.monotonically_increasing_id())
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = own.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    return own.join(starts, part == F.col("__part")).withColumn(name, F.col("__start") + place + first).drop("__id", "__part", "__start")
+
+
+def unique_nodes(edges: DataFrame) -> DataFrame:
+    """(node_id): every source or target of (source_id, target_id), once."""
+    return edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).distinct()

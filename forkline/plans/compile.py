@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forkline import schemas
 from forkline.functions import weights as W
 
+# Default settings.
 DEFAULTS = {"kai_availability": 0.5, "combat_win_probability": 0.833, "escape_probability": 0.5, "has_condition": 0.5, "choice_affinities": {"matching": 2.0, "neutral": 1.0, "opposed": 0.5}}
 
 

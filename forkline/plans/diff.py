@@ -75,3 +75,8 @@ def distributions(edges: DataFrame) -> DataFrame:
     for a in schemas.AXES:
         out = out.unionAll(count(edges.where("transition_type = 'explicit_choice'"), a))
     return out.unionAll(edges.agg(F.count_if(F.coalesce("warnings", F.lit("")) != "").alias("n")).select(F.lit("warnings").alias("field"), F.lit("not empty").alias("value"), "n"))
+
+
+def ending_counts(nodes: DataFrame) -> DataFrame:
+    """(absorbing_status, n) of a node table."""
+    return nodes.groupBy("absorbing_status").agg(F.count("*").alias("n"))

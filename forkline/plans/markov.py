@@ -109,6 +109,8 @@ def profile_divergence(visits: DataFrame, left: str, right: str) -> DataFrame:
 def propagate(spark: SparkSession, weights: DataFrame, start: str, outcomes: tuple[str, ...] = ("Death", "Win"), tolerance: float = 1e-12, every: int = 8, rounds: int = 2000) -> DataFrame:
     """(profile_id, state, mass): mass absorbed per outcome, moved step by step over the edges.
 
+    At the end no state holds more than ``tolerance``; if ``rounds`` steps don't get there, it raises.
+
     Each step is a join and a grouped sum; every ``every`` steps the state is checkpointed to the
     shared folder and the mass still moving is looked at.
     """
@@ -122,8 +124,8 @@ def propagate(spark: SparkSession, weights: DataFrame, start: str, outcomes: tup
         if step % every == 0:
             state = state.checkpoint()
             if state.where(~done & (F.col("mass") > tolerance)).isEmpty():
-                break
-    return state.where(done)
+                return state.where(done)
+    raise ValueError(f"mass over {tolerance} still moves after {rounds} steps")
 
 
 def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -137,3 +139,8 @@ def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataF
         seen = seen.unionAll(frontier).checkpoint()
     return seen
 
+
+
+def unreachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id): nodes that can't be reached."""
+    return nodes.select("node_id").distinct().join(reachable(spark, edges, starts), "node_id", "left_anti")

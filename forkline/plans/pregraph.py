@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forkline import schemas
+from forkline.functions.text import edge_id
 from forkline.operators import constraints as C
+from forkline.operators.relational import numbered
+from forkline.plans.markov import checkpoint_folder
 
 
 def pregraph_nodes(nodes: DataFrame, file: str = "nodes") -> DataFrame:
@@ -20,15 +23,16 @@ def pregraph_nodes(nodes: DataFrame, file: str = "nodes") -> DataFrame:
 def merge(auto: DataFrame, supervised: DataFrame) -> DataFrame:
     """Both origins, by numeric source, automatic ones first, numbered e0001, e0002, ...
 
-    ``supervised`` has a ``line``. The one global numbering is over edges of one book.
+    ``supervised`` has a ``line``. The order is a distributed sort, numbered partition by partition.
     """
     order = F.struct(F.lit(0).alias("origin"), F.col("ord.part").cast("long").alias("part"), F.col("ord.position").cast("long").alias("position"))
     a = auto.withColumn("origin", F.lit("auto")).withColumn("ord", order)
     s = supervised.withColumn("origin", F.lit("supervised")).withColumn("source_ref", F.concat(F.lit("supervision:"), F.col("line").cast("string")))
     s = s.withColumn("ord", F.struct(F.lit(1).alias("origin"), F.lit(0).cast("long").alias("part"), F.col("line").cast("long").alias("position"))).drop("line")
     both = a.unionByName(s)
-    w = Window.orderBy(F.expr("try_cast(source_id AS bigint)"), "source_id", "ord", "target_id")
-    return both.withColumn("edge_id", F.format_string("e%04d", F.row_number().over(w))).select(*schemas.PREGRAPH_EDGES.names)
+    checkpoint_folder(both.sparkSession)
+    ordered = both.orderBy(F.expr("try_cast(source_id AS bigint)"), "source_id", "ord", "target_id").checkpoint()
+    return numbered(ordered, "place", 1).withColumn("edge_id", edge_id(F.col("place"))).select(*schemas.PREGRAPH_EDGES.names)
 
 
 def checks(nodes: DataFrame, edges: DataFrame, phase1: DataFrame, review: DataFrame, supervised: DataFrame) -> DataFrame:
@@ -51,9 +55,18 @@ def checks(nodes: DataFrame, edges: DataFrame, phase1: DataFrame, review: DataFr
         C.duplicates(review, ["source_id"], "source reviewed twice"),
         C.constant_sums(edges),
         C.outcomes(nodes, edges),
+        all_classified(edges, phase1, review),
     )
 
 
+def all_classified(edges: DataFrame, phase1: DataFrame, review: DataFrame) -> DataFrame:
+    """Edges converted and edges replaced by supervision are all edges of phase 1."""
+    rows = report(edges.select(F.lit("").alias("node_kind")).limit(0), edges, phase1, review)
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    counts = rows.agg(of("phase1_edges").alias("all"), of("automatic_phase1_edges").alias("auto"), of("replaced_phase1_edges").alias("hand"))
+    return C.violations(counts, "edges lost or added", F.lit("phase1_edges"), F.col("auto") + F.col("hand") != F.col("all"), F.concat_ws("/", F.col("auto").cast("string"), F.col("hand").cast("string"), F.col("all").cast("string")))
+
+
 def report(nodes: DataFrame, edges: DataFrame, phase1: DataFrame, review: DataFrame) -> DataFrame:
     """(metric, value): counts of the conversion."""
     reviewed = phase1.join(review.select("source_id"), "source_id", "left_semi")

@@ -11,13 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forkline.functions import text as fx
 from forkline.functions import weights
 from forkline.operators import constraints as C
+from forkline.operators import relational
 from forkline.plans import compile as compiling
-from forkline.plans import markov, simulate
-from forkline.sources import html
+from forkline.plans import diff, markov, simulate, summary
+from forkline.sources import html, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,8 +62,9 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = shares(spark, sf_dir).where(~F.col("source_id").isin(*END)).select("source_id", "target_id", "w")
-    return d.unionAll(spark.createDataFrame([(e, e, 1.0) for e in END], d.schema))
+    compiled = shares(spark, sf_dir).where(~F.col("source_id").isin(*END)).select(F.lit("all").alias("profile_id"), "source_id", "target_id", F.col("w").alias("compiled_weight"))
+    ends = spark.createDataFrame([(e, "true") for e in END], "node_id string, absorbing string")
+    return compiling.sparse(compiled, ends).select("source_id", "target_id", "w")
 
 
 def one_profile(weights: DataFrame) -> DataFrame:
@@ -141,17 +144,18 @@ def q08_cross_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("profile_id", "source_id", "target_id", F.round("compiled_weight", 9).alias("w"))
 
 
-@query("""WITH g AS (SELECT o_orderstatus AS s, o_orderpriority AS p, c_mktsegment AS m, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
-a AS (SELECT 'status' AS axis, s AS level, count(*) AS n_groups, avg(v) AS mean_value FROM g GROUP BY s UNION ALL SELECT 'priority', p, count(*), avg(v) FROM g GROUP BY p UNION ALL SELECT 'segment', m, count(*), avg(v) FROM g GROUP BY m)
-SELECT axis, level, n_groups, round(mean_value, 4) AS mean_value, round(mean_value - first_value(mean_value) OVER (PARTITION BY axis ORDER BY level), 4) AS delta FROM a""")
+@query("""WITH g AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'neutral' ELSE o_orderstatus END AS s, CASE WHEN o_orderpriority = '1-URGENT' THEN 'neutral' ELSE o_orderpriority END AS p, CASE WHEN c_mktsegment = 'BUILDING' THEN 'neutral' ELSE c_mktsegment END AS m,
+  avg(o_totalprice) AS v, count(*) AS k, max(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+a AS (SELECT 'risk' AS axis, s AS level, count(*) AS n, avg(v) AS d, avg(k) AS w, avg(x) AS t FROM g GROUP BY s UNION ALL SELECT 'morality', p, count(*), avg(v), avg(k), avg(x) FROM g GROUP BY p UNION ALL SELECT 'action', m, count(*), avg(v), avg(k), avg(x) FROM g GROUP BY m)
+SELECT axis, level, n AS profile_count, round(d, 4) AS mean_death, round(w - max(CASE WHEN level = 'neutral' THEN w END) OVER (PARTITION BY axis), 4) AS delta_win, round(t - max(CASE WHEN level = 'neutral' THEN t END) OVER (PARTITION BY axis), 4) AS delta_steps FROM a""")
 def q09_axis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means per level of three axes in one pass (grouping sets), with differences from a first level."""
+    """Means per level of three axes in one pass (grouping sets), with differences from the neutral level."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    g = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.col("c_mktsegment").alias("m")).agg(F.avg("o_totalprice").alias("v"))
-    sets = g.groupingSets([("s",), ("p",), ("m",)], "s", "p", "m").agg(F.grouping("s").alias("gs"), F.grouping("p").alias("gp"), F.count("*").alias("n_groups"), F.avg("v").alias("mean_value"))
-    rows = sets.select(F.when(F.col("gs") == 0, "status").when(F.col("gp") == 0, "priority").otherwise("segment").alias("axis"), F.coalesce("s", "p", "m").alias("level"), "n_groups", "mean_value")
-    first = F.first("mean_value").over(Window.partitionBy("axis").orderBy("level"))
-    return rows.withColumn("delta", F.round(F.col("mean_value") - first, 4)).withColumn("mean_value", F.round("mean_value", 4))
+    level = lambda column, neutral: F.when(F.col(column) == neutral, "neutral").otherwise(F.col(column))
+    axes = {"risk": level("o_orderstatus", "F"), "morality": level("o_orderpriority", "1-URGENT"), "action": level("c_mktsegment", "BUILDING")}
+    g = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(*(v.alias(k) for k, v in axes.items()))
+    g = g.agg(F.avg("o_totalprice").alias("death_probability"), F.count("*").alias("win_probability"), F.max("o_totalprice").alias("expected_steps_to_absorption"))
+    return summary.axis_summary(g).select("axis", "level", "profile_count", F.round("mean_death_probability", 4).alias("mean_death"), F.round("delta_win_vs_axis_neutral", 4).alias("delta_win"), F.round("delta_steps_vs_axis_neutral", 4).alias("delta_steps"))
 
 
 @query("""WITH r AS (SELECT c_nationkey AS nation, sum(o_totalprice) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
@@ -160,23 +164,24 @@ def q10_delta_vs_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group against a reference group; the reference is one row, joined by broadcast."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     r = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").alias("nation")).agg(F.sum("o_totalprice").alias("revenue"))
-    base = r.where("nation = 0").agg(F.max("revenue").alias("base"))
-    return r.join(F.broadcast(base), how="cross").select("nation", F.round("revenue", 2).alias("revenue"), F.round(F.col("revenue") - F.col("base"), 2).alias("delta"))
+    return relational.change_from(r, "revenue", F.col("nation") == 0).select("nation", F.round("revenue", 2).alias("revenue"), F.round("delta", 2).alias("delta"))
 
 
 _GUESS = "CASE WHEN contains(text, '%%%') OR contains(text, '!! ') OR contains(text, ' | ') THEN 0 ELSE 1 END"
 
 
-@query(f"""WITH j AS (SELECT quality, {_GUESS} AS guess FROM labels JOIN documents ON labels.doc_id = documents.doc_id)
-SELECT 'quality' AS field, CASE WHEN quality = guess THEN 'same' WHEN quality = 0 THEN 'missed' ELSE 'invented' END AS severity, count(*) AS n_errors FROM j GROUP BY 1, 2""")
+@query(f"""WITH j AS (SELECT CAST(quality AS VARCHAR) AS q, CAST({_GUESS} AS VARCHAR) AS guess, toxic = 1 AS t, contains(text, '@') AS u FROM labels JOIN documents ON labels.doc_id = documents.doc_id)
+SELECT 'transition_type' AS field, 'medium' AS severity, count(*) AS n_errors FROM j WHERE t <> u HAVING count(*) > 0
+UNION ALL SELECT 'semantic_risk', 'soft', count(*) FROM j WHERE t = u AND q <> guess HAVING count(*) > 0""")
 def q11_gold_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference labels against a rule's guess."""
+    """Reference labels against a rule's guesses, as edges of two annotations."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     t = F.col("text")
-    guess = F.when(t.contains("%%%") | t.contains("!! ") | t.contains(" | "), 0).otherwise(1)
-    j = l.join(d.select("doc_id", guess.alias("guess")), "doc_id")
-    severity = F.when(F.col("quality") == F.col("guess"), "same").when(F.col("quality") == 0, "missed").otherwise("invented")
-    return j.groupBy(F.lit("quality").alias("field"), severity.alias("severity")).agg(F.count("*").alias("n_errors"))
+    guess = F.when(t.contains("%%%") | t.contains("!! ") | t.contains(" | "), "0").otherwise("1")
+    kind = lambda c: F.when(c, "stochastic").otherwise("forced").alias("transition_type")
+    edge = lambda k, risk: [F.col("doc_id").alias("source_id"), F.lit("end").alias("target_id"), k, risk.alias("semantic_risk"), F.lit(None).cast("string").alias("semantic_morality"), F.lit("x").alias("semantic_action")]
+    gold = l.select(*edge(kind(F.col("toxic") == 1), F.col("quality").cast("string")))
+    return diff.divergence_counts(diff.divergences(gold, d.select(*edge(kind(t.contains("@")), guess))))
 
 
 _A, _B = "SELECT l_orderkey || '->' || l_partkey AS k FROM lineitem WHERE l_quantity > 5", "SELECT l_orderkey || '->' || l_partkey AS k FROM lineitem WHERE l_discount < 0.09"
@@ -185,26 +190,29 @@ _A, _B = "SELECT l_orderkey || '->' || l_partkey AS k FROM lineitem WHERE l_quan
 @query(f"""SELECT 'missing' AS status, count(*) AS n FROM ({_A} EXCEPT {_B}) UNION ALL SELECT 'invented', count(*) FROM ({_B} EXCEPT {_A})
 UNION ALL SELECT 'shared', count(*) FROM ({_A} INTERSECT {_B})""")
 def q12_topology_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of one extraction and another; one grouped pass instead of three set operations."""
+    """Edges of one extraction and another: missing, invented and shared ones."""
+    pair = [F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id")]
     l = table(spark, sf_dir, "lineitem")
-    a, b = F.max(F.col("l_quantity") > 5), F.max(F.col("l_discount") < 0.09)
-    per = l.groupBy("l_orderkey", "l_partkey").agg(a.alias("a"), b.alias("b"))
-    counts = per.agg(F.count_if(F.col("a") & ~F.col("b")).alias("missing"), F.count_if(~F.col("a") & F.col("b")).alias("invented"), F.count_if(F.col("a") & F.col("b")).alias("shared"))
-    return counts.unpivot([], ["missing", "invented", "shared"], "status", "n")
+    found = diff.topology(l.where("l_quantity > 5").select(pair), l.where("l_discount < 0.09").select(pair))
+    return found.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'order without customer' AS "check", count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
+@query("""SELECT * FROM (SELECT 'order without customer' AS "check", count(DISTINCT o_custkey) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
 UNION ALL SELECT 'customer without order', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)
-UNION ALL SELECT 'item without order', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey)
-UNION ALL SELECT 'discount without tax', count(*) FROM lineitem WHERE l_discount > 0 AND l_tax = 0""")
+UNION ALL SELECT 'item without order', count(DISTINCT l_orderkey) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT 'part of both', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
+UNION ALL SELECT 'discount without tax', count(*) FROM lineitem WHERE l_discount > 0 AND l_tax = 0) WHERE n > 0""")
 def q13_constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referential and row checks as counts of violations."""
-    o, c, l = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
-    n = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-    out = n(o.join(c, o["o_custkey"] == c["c_custkey"], "left_anti"), "order without customer")
-    out = out.unionAll(n(c.join(o, o["o_custkey"] == c["c_custkey"], "left_anti"), "customer without order"))
-    out = out.unionAll(n(l.join(o, l["l_orderkey"] == o["o_orderkey"], "left_anti"), "item without order"))
-    return out.unionAll(n(l.where("l_discount > 0 AND l_tax = 0"), "discount without tax"))
+    o, c, l, p = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "part"))
+    found = C.all_of(
+        C.missing(o, "o_custkey", c, "c_custkey", "order without customer"),
+        C.missing(c, "c_custkey", o, "o_custkey", "customer without order"),
+        C.missing(l, "l_orderkey", o, "o_orderkey", "item without order"),
+        C.shared(p, l.where("l_quantity > 49").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "part of both"),
+        C.violations(l, "discount without tax", F.col("l_orderkey"), (F.col("l_discount") > 0) & (F.col("l_tax") == 0)),
+    )
+    return found.groupBy("check").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey || '->' || l_partkey AS key, CAST(count(*) AS VARCHAR) AS detail FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1")
@@ -212,28 +220,30 @@ def q14_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"], "pair twice").select("key", "detail")
 
 
-@query("SELECT l_orderkey, CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) AS total, bool_and(l_quantity > 10) AS all_large, sum(CAST(l_discount AS DECIMAL(18, 2))) = 0.10 AS is_tenth FROM lineitem GROUP BY 1")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS key FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_quantity > 5) AND sum(CAST(l_discount AS DECIMAL(18, 2))) <> 0.10")
 def q15_exact_decimal_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums in decimals, so that equality is exact."""
-    total = F.sum(F.col("l_discount").cast("decimal(18,2)"))
-    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(total.alias("t"), F.bool_and(F.col("l_quantity") > 10).alias("all_large"))
-    return d.select("l_orderkey", F.col("t").cast("double").alias("total"), "all_large", (F.col("t") == F.expr("0.10")).alias("is_tenth"))
+    """Orders with constants only whose decimals don't sum to exactly 0.10."""
+    rule = F.when(F.col("l_quantity") > 5, "constant").otherwise("formula")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), rule.alias("weight_rule"), (F.col("l_discount") * 10).cast("decimal(18,1)").cast("string").alias("weight_value"))
+    return C.constant_sums(edges).select("key")
 
 
 _ROLE = "CASE WHEN event_type = 'error' THEN 'death' WHEN event_type = 'signup' THEN 'escape' ELSE 'survive' END"
 
 
 @query(f"""WITH r AS (SELECT event_id, user_id, {_ROLE} AS role FROM events),
-c AS (SELECT *, count(*) OVER (PARTITION BY user_id, role) AS n_role, max(CASE WHEN role = 'escape' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS flees FROM r)
-SELECT event_id, role, n_role, round(CASE role WHEN 'escape' THEN 0.5 WHEN 'survive' THEN (1 - 0.5 * flees) * 0.833 ELSE (1 - 0.5 * flees) * 0.167 END / n_role, 9) AS w FROM c""")
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id, role) AS n_role, max(CASE WHEN role = 'escape' THEN 1 ELSE 0 END) OVER u AS flees, max(CASE WHEN role = 'death' THEN 1 ELSE 0 END) OVER u + max(CASE WHEN role = 'survive' THEN 1 ELSE 0 END) OVER u = 2 AS complete FROM r WINDOW u AS (PARTITION BY user_id))
+SELECT event_id, role, CASE WHEN complete THEN '' ELSE 'combat without survival or death' END AS problem, CASE WHEN complete THEN round(CASE role WHEN 'escape' THEN 0.5 WHEN 'survive' THEN (1 - 0.5 * flees) * 0.833 ELSE (1 - 0.5 * flees) * 0.167 END / n_role, 9) END AS w FROM c""")
 def q16_role_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mass per role, split over the rows of the role."""
     role = F.when(F.col("event_type") == "error", "death").when(F.col("event_type") == "signup", "escape").otherwise("survive")
-    d = table(spark, sf_dir, "events").select("event_id", "user_id", role.alias("role"))
-    d = d.withColumn("n_role", F.count("*").over(Window.partitionBy("user_id", "role"))).withColumn("flees", F.max((F.col("role") == "escape").cast("int")).over(Window.partitionBy("user_id")))
-    rest = 1 - 0.5 * F.col("flees")
-    mass = F.when(F.col("role") == "escape", 0.5).when(F.col("role") == "survive", rest * 0.833).otherwise(rest * 0.167)
-    return d.select("event_id", "role", "n_role", F.round(mass / F.col("n_role"), 9).alias("w"))
+    d = table(spark, sf_dir, "events").select(F.col("event_id"), F.col("user_id").cast("string").alias("source_id"), F.col("event_id").cast("string").alias("target_id"), role.alias("condition_value"))
+    call = F.concat(F.lit("combat_outcome("), "source_id", F.lit(', "'), "condition_value", F.lit('")'))
+    constants = {"profile_id": "all", "weight_rule": "formula", "weight_value": "", "condition_kind": "combat_outcome"} | dict.fromkeys(("semantic_risk", "semantic_morality", "semantic_action", "risk", "morality", "action"), "neutral")
+    d = d.withColumns({k: F.lit(v) for k, v in constants.items()}).withColumn("form", weights.parse(call))
+    done = weights.weight(d, compiling.settings_column())
+    ok = F.col("problem").isNull()
+    return done.select("event_id", F.col("condition_value").alias("role"), F.coalesce("problem", F.lit("")).alias("problem"), F.when(ok, F.round("compiled_weight", 9)).alias("w"))
 
 
 @query("SELECT o_orderkey, printf('e%04d', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS edge_id FROM orders")
@@ -288,7 +298,7 @@ def q21_regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS n_values, '{"k":' || max(CAST(json_extract(props, '$.k') AS BIGINT)) || '}' AS largest FROM events GROUP BY 1""")
 def q22_json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.from_json("props", "k bigint")["k"]
+    k = tables.decode("props", T.StructType([T.StructField("k", T.LongType())]))["k"]
     d = table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.count_distinct("k").alias("n_values"), F.max("k").alias("k"))
     return d.select("event_type", "total", "n_values", F.to_json(F.struct("k")).alias("largest"))
 
@@ -300,15 +310,15 @@ def q23_nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ">").alias("roles"), F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"])).alias("n_chars"))
 
 
-@query("""WITH b AS (SELECT CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 25 THEN 1 WHEN l_quantity <= 40 THEN 2 ELSE 3 END AS band, l_discount FROM lineitem)
-SELECT b.band, name, count(*) AS n, round(avg(l_discount), 8) AS mean_discount FROM b JOIN (VALUES (0, 'few'), (1, 'some'), (2, 'many'), (3, 'most')) t(band, name) ON b.band = t.band GROUP BY 1, 2""")
+@query("WITH t(digit, lo, hi, enemy_loss, hero_loss) AS (VALUES " + ", ".join(f"({d}, {lo}, {hi}, {e}, {h})" for d, row in simulate.COMBAT_RESULTS.items() for (e, h), lo, hi in zip(row, (-999, *simulate.BANDS), (*simulate.BANDS, 999), strict=True)) + """)
+SELECT digit, count(*) AS n, sum(enemy_loss)::BIGINT AS enemy_loss, sum(hero_loss)::BIGINT AS hero_loss FROM lineitem JOIN t ON CAST(l_quantity AS INT) - 25 > lo AND CAST(l_quantity AS INT) - 25 <= hi AND (l_orderkey % 10) = digit GROUP BY 1""")
 def q24_band_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range lookup as band plus equi-join with a small table."""
-    q = F.col("l_quantity")
-    band = F.when(q <= 10, 0).when(q <= 25, 1).when(q <= 40, 2).otherwise(3)
-    names = spark.createDataFrame([(0, "few"), (1, "some"), (2, "many"), (3, "most")], "band int, name string")
-    d = table(spark, sf_dir, "lineitem").select(band.alias("band"), "l_discount").groupBy("band").agg(F.count("*").alias("n"), F.avg("l_discount").alias("m"))
-    return d.join(F.broadcast(names), "band").select("band", "name", "n", F.round("m", 8).alias("mean_discount"))
+    """A range lookup as band plus equi-join with a table of 130 rows; the twin joins by ranges."""
+    ratio, digit = F.col("l_quantity").cast("int") - 25, (F.col("l_orderkey") % 10).cast("int")
+    d = table(spark, sf_dir, "lineitem").select(simulate.band(ratio).alias("band"), digit.alias("digit")).groupBy("band", "digit").agg(F.count("*").alias("n"))
+    hit = d.join(F.broadcast(simulate.combat_table(spark)), ["band", "digit"]).groupBy("digit")
+    total = lambda c: F.sum(F.col(c) * F.col("n")).alias(c)
+    return hit.agg(F.sum("n").alias("n"), total("enemy_loss"), total("hero_loss"))
 
 
 @query("""SELECT s_nationkey, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS least, arg_max(s_suppkey, (s_acctbal, -s_suppkey)) AS most, round(max(s_acctbal) - min(s_acctbal), 2) AS spread FROM supplier GROUP BY 1""")
@@ -321,8 +331,9 @@ def q25_first_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(last, '?') AS last_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderstatus) AS last FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def q26_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderstatus").alias("last"))
+    o = o.select(F.col("o_custkey").alias("c_custkey"), F.col("n").alias("n_orders"), F.col("last").alias("last_status"))
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("last", F.lit("?")).alias("last_status"))
+    return relational.with_default(relational.with_default(c, o, "c_custkey", "n_orders", F.lit(0)), o, "c_custkey", "last_status", F.lit("?"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -378,20 +389,46 @@ def q31_simulated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.replace("name", F.lit("p_"), F.lit("")).alias("ending"), F.lit(_RUNS).alias("n_runs"), close.alias("agrees"))
 
 
-_FORMS = (('kai_available("Healing")', 0.5), ('1 - kai_available("Healing")', 0.5), ('condition_available("has_item", "Rope")', 0.5), ("combat_win(7)", 0.833), ("1 - combat_win(7)", 0.167), ("combat_win(7) * 0.3", 0.2499), ("choice_share(7, 8)", 1.0), ("eval(1)", None))
-
-
-@query("WITH e(expression) AS (VALUES " + ", ".join(f"('{e}')" for e, _ in _FORMS) + r"""), k AS (SELECT expression, 0.5 AS a, 0.833 AS v FROM e)
-SELECT expression, round(CASE WHEN regexp_matches(expression, '^(kai|condition)_available\(.*\)$') THEN a WHEN regexp_matches(expression, '^1 - (kai|condition)_available\(.*\)$') THEN 1 - a
-WHEN regexp_matches(expression, '^combat_win\([0-9]+\)$') THEN v WHEN regexp_matches(expression, '^1 - combat_win\([0-9]+\)$') THEN 1 - v
-WHEN regexp_matches(expression, '^combat_win\([0-9]+\) \* [0-9.]+$') THEN v * CAST(regexp_extract(expression, '([0-9.]+)$', 1) AS DOUBLE) WHEN regexp_matches(expression, '^choice_share\(') THEN 1.0 END, 9) AS w FROM k""")
+#: (source, target, expression, declared role, risk label, weight): by hand, for a cautious profile
+_FORMS = (
+    ("1", "a", 'kai_available("Healing")', "", "neutral", 0.5),
+    ("1", "b", '1 - kai_available("Healing")', "", "neutral", 0.5),
+    ("2", "a", 'condition_available("has_item", "Rope")', "", "neutral", 0.5),
+    ("2", "b", '1 - condition_available("has_item", "Rope")', "", "neutral", 0.5),
+    ("3", "a", 'kai_available("Quo\\"te")', "", "neutral", 0.5),
+    ("3", "b", '(1 - kai_available("Quo\\"te")) * choice_share(3, b)', "", "cautious", 0.4),
+    ("3", "c", '(1 - kai_available("Quo\\"te")) * choice_share(3, c)', "", "reckless", 0.1),
+    ("4", "a", "choice_share(4, a)", "", "neutral", 1 / 3),
+    ("4", "b", "choice_share(4, b)", "", "cautious", 2 / 3),
+    ("5", "a", "available_choice_share(5, a, 1)", "", "neutral", 0.5),
+    ("5", "b", 'available_choice_share(5, b, kai_available("Healing"))', "", "neutral", 0.25),
+    ("5", "c", 'available_choice_share(5, c, condition_available("has_item", "Rope"))', "", "neutral", 0.25),
+    ("6", "a", "combat_win(6)", "", "neutral", 0.833),
+    ("6", "Death", "1 - combat_win(6)", "", "neutral", 0.167),
+    ("7", "a", "combat_win(7) * 0.3", "", "neutral", 0.2499),
+    ("7", "b", "combat_win(7) * 0.7", "", "neutral", 0.5831),
+    ("8", "a", "combat_win(8) * postcombat_choice_share(8, a)", "", "cautious", 0.833 * 0.8),
+    ("8", "b", "combat_win(8) * postcombat_choice_share(8, b)", "", "reckless", 0.833 * 0.2),
+    ("9", "a", 'combat_outcome(9, "survive")', "survive", "neutral", 0.20825),
+    ("9", "b", 'combat_outcome(9, "survive")', "survive", "neutral", 0.20825),
+    ("9", "c", 'combat_outcome(9, "escape")', "escape", "neutral", 0.5),
+    ("9", "Death", 'combat_outcome(9, "death")', "death", "neutral", 0.0835),
+    ("10", "a", "eval(1)", "", "neutral", None),
+    ("11", "a", "choice_share(11, b)", "", "neutral", None),
+    ("12", "a", 'combat_outcome(12, "survive")', "survive", "neutral", None),
+    ("13", "a", 'combat_outcome(13, "survive")', "death", "neutral", None),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}', {'NULL' if w is None else round(w, 9)}, {'true' if w is None else 'false'})" for s, t, _, _, _, w in _FORMS) + ") v(source_id, target_id, w, refused)")
 def q32_symbolic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weight language compiled to Columns; what it doesn't know has no weight."""
-    rows = [(f"{i}", "7", "8", "formula", "", e, "", "", "neutral", "neutral", "neutral") for i, (e, _) in enumerate(_FORMS)]
-    d = spark.createDataFrame(rows, "profile_id string, source_id string, target_id string, weight_rule string, weight_value string, weight_expression string, condition_kind string, condition_value string, semantic_risk string, semantic_morality string, semantic_action string")
-    d = d.withColumns({"risk": F.lit("neutral"), "morality": F.lit("neutral"), "action": F.lit("neutral"), "form": weights.parse(F.col("weight_expression"))})
+    """Every form of the weight language compiled to Columns, and what it refuses."""
+    names = "source_id string, target_id string, weight_expression string, condition_value string, semantic_risk string"
+    d = spark.createDataFrame([f[:5] for f in _FORMS], names)
+    d = d.withColumns({"profile_id": F.lit("p"), "weight_rule": F.lit("formula"), "weight_value": F.lit(""), "condition_kind": F.when(F.col("condition_value") != "", "combat_outcome").otherwise("")})
+    d = d.withColumns(dict.fromkeys(("semantic_morality", "semantic_action", "morality", "action"), F.lit("neutral")) | {"risk": F.lit("cautious"), "form": weights.parse(F.col("weight_expression"))})
     done = weights.weight(d, compiling.settings_column())
-    return done.select(F.col("weight_expression").alias("expression"), F.when(F.col("problem").isNull(), F.round("compiled_weight", 9)).alias("w"))
+    return done.select("source_id", "target_id", F.when(F.col("problem").isNull(), F.round("compiled_weight", 9)).alias("w"), F.col("problem").isNotNull().alias("refused"))
 
 
 @query("SELECT n_name, count(s_suppkey) AS n_suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name ORDER BY n_nationkey")

@@ -9,6 +9,7 @@ def strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+# Column names and vocabularies of the tables.
 AXES = ("semantic_risk", "semantic_morality", "semantic_action")
 LEVELS = {"risk": ("cautious", "neutral", "reckless"), "morality": ("selfish", "neutral", "noble"), "action": ("physical", "neutral", "tactical")}
 TRANSITION_TYPES = ("explicit_choice", "forced", "stochastic", "conditional", "complex")

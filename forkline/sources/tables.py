@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forkline.operators.relational import numbered
+
 
 def clean(df: DataFrame) -> DataFrame:
     """Strings trimmed, null as the empty text."""
@@ -32,16 +34,22 @@ def infer_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line(df: DataFrame, name: str = "line") -> DataFrame:
-    """Line numbers of the file, the header being line 1; for a file read as one partition.
-
-    A file that holds quoted line ends can't be split, so its rows come in order.
-    """
-    return df.withColumn(name, F.monotonically_increasing_id() + 2)
+    """Line numbers of one file's rows, the header being line 1, however many partitions it is read in."""
+    return numbered(df, name, 2)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
+    """A JSON document (an object, or an array of rows), or a file of one object a line."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True, mode="FAILFAST")
+    return reader.json(path, multiLine=not lines, mode="FAILFAST")
+
+
+def load_profile_ids(spark: SparkSession, path: str) -> list[str]:
+    """The profiles of a JSON list in its order; a repeated or missing id is an error."""
+    ids = [r["profile_id"] for r in read_json(spark, path).select("profile_id").collect()]  # a designed list
+    if None in ids or len(set(ids)) < len(ids) or not ids:
+        raise ValueError(f"profiles of {path}: none, or ids that are missing or repeated")
+    return ids
 
 
 def nested_edges(df: DataFrame, at: str = "output.edges", key: str = "id") -> DataFrame:
@@ -55,8 +63,10 @@ def decode(column: str | Column, schema: T.DataType) -> Column:
     return F.coalesce(value, F.array().cast(schema)) if isinstance(schema, T.ArrayType) else value
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, order: list[Column] | None = None, mode: str = "overwrite", line: str = "\n") -> None:
-    """CSV of exactly ``fields``, in ``order`` (a total one makes the files deterministic)."""
+def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, order: list[Column] | None = None, mode: str = "overwrite", line: str = "\n", strict: bool = False) -> None:
+    """CSV of exactly ``fields``, in ``order`` (a total one makes the files deterministic); ``strict`` refuses other columns."""
+    if strict and fields and (extra := [c for c in df.columns if c not in fields]):
+        raise ValueError(f"columns beyond {fields}: {extra}")
     out = df.select(*fields) if fields else df
     out = out.orderBy(*order) if order else out
     out.write.mode(mode).csv(path, header=True, escape='"', lineSep=line, emptyValue="")
@@ -66,6 +76,14 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """A small table as one indented JSON array, its rows by ``order``."""
+    fields = [c for c in df.columns if c not in order]
+    rows = F.array_sort(F.collect_list(F.struct(*order, *fields)))
+    whole = F.to_json(F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in df.columns))), {"pretty": "true", "ignoreNullFields": "false"})
+    df.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A one-row report as one JSON object in a text file."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
