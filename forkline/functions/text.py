@@ -25,7 +25,7 @@ def mentions(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def disciplines(text: Column) -> Column:
     """The disciplines a text names, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DISCIPLINE), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DISCIPLINE), F.lit(1)), lambda x: F.trim(x)))
 
 
 def kai_fallback(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -20,3 +23,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for k, v in (DEFAULTS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session's executors share; a local one only where none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = at.get() if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="forkline-")
+    return f"{top.rstrip('/')}/forkline/{name}-{uuid.uuid4().hex}"

@@ -32,4 +32,4 @@ def append_edges(pages: DataFrame, annotate: Callable[[DataFrame], DataFrame], o
 
 def event_shares(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event type and time window of an event stream, late rows up to ``late``."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))

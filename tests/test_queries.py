@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from forkline.queries import ORACLE_SQL, QUERIES
+from forkline.book_queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
