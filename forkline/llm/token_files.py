@@ -87,7 +87,10 @@ def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[by
     if not split:
         return [pack(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     words = [None if any(s in x for s in special) else x.replace("\n", " ").split(" ") for x in texts]
-    new = known.missing({w for ws in words if ws is not None for w in ws})
+    # nearly all words are known: one look-up each, and only the others are gathered
+    get = known.new.get
+    found = [None if ws is None else list(map(get, ws)) for ws in words]
+    new = known.missing({w for ws, r in zip(words, found, strict=True) if r is not None and None in r for w, v in zip(ws, r, strict=True) if v is None})
     memory = known.new
     # an ASCII word with marks behind it gives the pieces of the lower-case word, then those of the marks
     made = []
@@ -117,8 +120,12 @@ def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[by
             memory[w] = pack(e.ids)
     for w, a, b in made:
         memory[w] = memory[a] + memory[b] if b else memory[a]
-    get = memory.__getitem__
-    return [pack(t.encode(x, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words, strict=True)]
+    for k, (x, ws, r) in enumerate(zip(texts, words, found, strict=True)):
+        if ws is None:
+            found[k] = [pack(t.encode(x, add_special_tokens=False).ids)]
+        elif None in r:
+            found[k] = [memory[w] if v is None else v for w, v in zip(ws, r, strict=True)]
+    return [b"".join(r) for r in found]
 
 
 def splits_at_spaces(path: str) -> bool:

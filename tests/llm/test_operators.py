@@ -189,6 +189,7 @@ def test_sentencepiece(spark, docs, empty):
     assert [i.tolist() for i in ids] == sp.encode(odd) and all(same)
     assert codec.decode([i for i in ids]) == codec.twin.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
     assert codec.decode([np.array([3 + 0xF0, 3 + 0x9F])]) == codec.twin.decode_batch([[3 + 0xF0, 3 + 0x9F]], skip_special_tokens=False)
+    assert all(codec.agrees(odd, ids)) and codec.agrees(["a b"], [ids[0]]) == [False]
     rows = {r["doc_id"]: r for r in sentencepiece_tok.round_trip(docs, path).collect()}
     assert all(r["parity"] and r["round_trip"] for r in rows.values()) and rows[15]["n_tokens"] == 0
     encoded = sentencepiece_tok.encode(docs, path).cache()
