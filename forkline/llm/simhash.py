@@ -37,6 +37,8 @@ from forkline.llm.common import Scratch, batches, connected_components, forest
 BITS = 64
 SEED = 42
 BLOCK = 8
+#: A probe is a row that is made, shuffled and sorted; it costs more than a comparison of two numbers.
+PROBE = 4
 #: A value of more than TILE indexed rows is cut into tiles.
 TILE = 1024
 #: Fingerprints chained within so many bits are one group when similarities are verified.
@@ -147,7 +149,7 @@ class Plan:
             self.near.append(blocks)
 
     def candidates(self, fp: np.ndarray) -> np.ndarray:
-        """[query, partition, threshold + 1]: probes plus expected rows met; column 0 is 'left out'."""
+        """[query, partition, threshold + 1]: cost of the probes and the expected rows met; column 0 is 'left out'."""
         raw = np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)
         out = np.zeros((len(fp), len(self.groups), self.radius + 2))
         for g, blocks in enumerate(self.near):
@@ -162,7 +164,7 @@ class Plan:
             width, ball = len(self.groups[g]), 0.0
             for t in range(self.radius + 1):
                 ball += float(np.prod([(width - i) / (i + 1) for i in range(t)])) if t else 1.0
-                out[:, g, t + 1] = ball + self.n * dist[:, : t + 1].sum(1)
+                out[:, g, t + 1] = PROBE * ball + self.n * dist[:, : t + 1].sum(1)
         return out
 
     def thresholds(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
