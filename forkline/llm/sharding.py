@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Ranks of equal rows that are made at once.
+PIECE = 1 << 14
+
+
 def ring(n_shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ring points (signed 64-bit) and their shards; a shard's points depend on it alone."""
     points: dict[int, int] = {}
@@ -99,7 +103,10 @@ def assign(docs: DataFrame, n_shards: int = 24, vnodes: int = 128, key: str = "d
     counted = rows.groupBy(key, "size", "text_crc32", "h").agg(F.count("*").alias("n")).withColumn("arc", arc_of("h"))
     order = Window.partitionBy("arc").orderBy("h", key, "size", "text_crc32")
     until = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("until", until).withColumn("rank", F.explode(F.sequence(F.col("until") - F.col("n"), F.col("until") - 1)))
+    # equal rows get their ranks in pieces, so that no array grows with how often a row is repeated
+    cut = counted.withColumn("from", until - F.col("n")).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    low, high = F.col("from") + F.col("piece") * PIECE, F.least(F.col("from") + F.col("n"), F.col("from") + (F.col("piece") + 1) * PIECE) - 1
+    ranked = cut.withColumns({"low": low, "high": high}).withColumn("rank", F.explode(F.sequence("low", "high")))
     placed = ranked.withColumn("at", place("arc", "rank"))
     return placed.select(key, "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))
 

@@ -139,6 +139,39 @@ def test_sharding_moves_little():
     assert sharding.moved_share(h, 24) < 0.3  # a new shard's share is 1/25; full shards push the rest on
 
 
+def test_equal_rows_are_ranked_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    d = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") == 1, 50).otherwise(7))))
+    rows = sharding.assign(d, 4, 8).collect()
+    assert len(rows) == 64 and sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(4) for k in range(16)]
+
+
+def test_placement_is_a_brute_force_ring(spark):
+    """Row by row around the ring: own shards first, in hash order; then overflow goes to the nearest points with room."""
+    n, vnodes, shards = 300, 6, 5
+    h = {r["id"]: r["h"] for r in spark.range(n).select("id", F.xxhash64("id").alias("h")).collect()}
+    points = sorted((xxhash.xxh64_intdigest(f"shard-{s}/{v}".encode()) - 2**63, s) for s in range(shards) for v in range(vnodes))
+    arc = {i: next((k for k, (p, _) in enumerate(points) if x <= p), 0) for i, x in h.items()}
+    room = {s: n // shards + (s < n % shards) for s in range(shards)}
+    home, left, second = {}, [], False
+    for i in sorted(h, key=lambda i: (arc[i], h[i])):
+        s = points[arc[i]][1]
+        if room[s]:
+            home[i], room[s] = s, room[s] - 1
+        else:
+            left.append(i)
+    # a point that has room takes from the arcs behind it, the nearest first
+    for at in list(range(len(points))) * 2:
+        s = points[at][1]
+        waiting = [i for i in left if i not in home and (second or arc[i] <= at)]
+        for i in sorted(waiting, key=lambda i: ((at - arc[i]) % len(points), h[i])):
+            if room[s]:
+                home[i], room[s] = s, room[s] - 1
+        second = second or at == len(points) - 1
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert {r["doc_id"]: r["shard"] for r in sharding.assign(d, shards, vnodes).collect()} == home
+
+
 def test_ring_walk_places_everything():
     points, owner = sharding.ring(7, 9)
     demand = np.zeros(len(points), dtype=np.int64)

@@ -54,6 +54,23 @@ def test_near_dedup_finds_edited_copies(spark):
     assert {r["doc_id"] for r in p.near_dedup(spark, d, "").collect()} == {1, 3}
 
 
+def test_stages_take_odd_tables(spark):
+    """Null ids and texts, empty and repeated rows, one id on two texts, clashing columns, and an empty table."""
+    import corpus_pipeline as p
+    from tests.llm.test_operators import prose
+
+    rows = [(1, prose(80, 90)), (1, prose(80, 90)), (1, prose(81, 90)), (2, prose(80, 90)), (3, None), (4, ""), (None, prose(82, 90)), (None, None), (5, "token=abcdef123456 " + prose(83, 60)), (6, "word")]
+    d = spark.createDataFrame([(i, x, "en", "s", len(x or ""), "c", 1.0, "b") for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long, sig string, score double, base string")
+    for docs in (d, d.where("doc_id > 100")):
+        current, n = docs, docs.count()
+        for name, stage in p.STAGES:
+            current = stage(spark, current, DATA).cache()
+            assert current.count() <= n and (name == "sentencepiece" or current.columns == docs.columns)
+        if n:
+            kept = current.select("doc_id").collect()
+            assert len(kept) >= 4 and sum(r["doc_id"] == 2 for r in kept) == 0
+
+
 def test_run_is_registered():
     import __spark_entry__
 
