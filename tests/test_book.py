@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forkline import schemas
@@ -57,6 +58,7 @@ def test_annotation_and_conversion(spark, book):
     kinds = {(r["source_id"], r["target_id"]): r["transition_type"] for r in edges.collect()}
     assert kinds["1", "2"] == "explicit_choice" and kinds["2", "3"] == "stochastic" and kinds["3", "5"] == "forced"
     assert kinds["5", "6"] == kinds["5", "4"] == kinds["6", "7"] == "conditional"
+    edges = edges.withColumn("line", F.row_number().over(Window.orderBy("source_id", "position")) + 1)
     auto, review = convert.convert(edges, nodes)
     assert review.isEmpty()
     merged = pregraph.merge(auto, spark.createDataFrame([], schemas.SUPERVISION).withColumn("line", F.lit(2))).cache()
@@ -66,9 +68,12 @@ def test_annotation_and_conversion(spark, book):
     assert w["6", "7"] == ("", 'condition_available("has_item", "rope")', "has_item") and w["7", "Win"] == ("1", "", "")
     assert [r["edge_id"] for r in merged.orderBy("edge_id").collect()][:2] == ["e0001", "e0002"]
     pn = pregraph.pregraph_nodes(nodes)
-    phase1 = edges.select("source_id", F.concat(F.lit("edges:"), (F.col("position") + 2).cast("string")).alias("source_ref"))
+    phase1 = edges.select("source_id", F.concat(F.lit("edges:"), F.col("line").cast("string")).alias("source_ref"))
     problems = pregraph.checks(pn, merged, phase1, review, spark.createDataFrame([], schemas.SUPERVISION))
-    assert {r["check"] for r in problems.collect()} <= {"reference not traced once"}  # positions repeat between sources here
+    assert problems.isEmpty()
+    twice = merged.unionByName(merged.where("source_ref = 'edges:2'").withColumn("edge_id", F.lit("e9999")))
+    found = {(r["check"], r["key"]) for r in pregraph.checks(pn, twice, phase1, review, spark.createDataFrame([], schemas.SUPERVISION)).collect()}
+    assert found == {("reference not traced once", "edges:2"), ("edges lost or added", "phase1_edges")}
     assert {r["metric"]: r["value"] for r in pregraph.report(pn, merged, phase1, review).collect()}["pregraph_nodes"] == 9
 
 
