@@ -63,13 +63,14 @@ def q35_choice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, regexp_matches(o_orderpriority, '^[A-Za-z0-9_-]+$') AS identifier, o_totalprice > 0 AS positive, o_totalprice / 400000 <= 1 AND o_totalprice >= 0 AS probability, abs(o_totalprice - 150000) <= 1000 AS near,
-least(1.0, greatest(0.0, o_totalprice / 200000)) AS clamped, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderstatus || ' | ' || o_orderpriority END AS note, '"' || o_orderpriority || '\\"x"' AS quoted, o_custkey || '->' || o_orderkey AS edge FROM orders""")
+least(1.0, greatest(0.0, o_totalprice / 200000)) AS clamped, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderstatus || ' | ' || o_orderpriority END AS note, '"' || o_orderpriority || '\\"x"' AS quoted, o_custkey || '->' || o_orderkey AS edge, 'orders:' || o_orderkey AS ref, true AS own, false AS other FROM orders""")
 def q36_scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, status = F.col("o_totalprice"), F.col("o_orderstatus")
     note = fx.joined_note(F.when(status == "F", "").otherwise(status), F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", fx.is_identifier(F.col("o_orderpriority")).alias("identifier"), fx.is_positive(p).alias("positive"), fx.is_probability(p / 400000).alias("probability"), fx.is_close(p, F.lit(150000.0), 1000.0).alias("near"),
         fx.clamp(p / 200000).alias("clamped"), note.alias("note"), fx.quoted(F.concat("o_orderpriority", F.lit('"x'))).alias("quoted"), fx.edge_key(F.col("o_custkey"), F.col("o_orderkey")).alias("edge"),
+        (ref := fx.provenance("orders", F.col("o_orderkey"))).alias("ref"), fx.comes_from(ref, "orders").alias("own"), fx.comes_from(ref, "order").alias("other"),
     )
 
 
@@ -204,7 +205,9 @@ def q45_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(F.struct("turn", "role", "text")).alias("edges"))
     tables.write_json(nested.select("id", F.struct("edges").alias("output")), path)
     layout = T.StructType.fromDDL("id long, output struct<edges: array<struct<turn: long, role: string, text: string>>>")
-    return tables.nested_edges(tables.read_json(spark, path, layout, lines=True)).select("id", "turn", "role", F.length("text").alias("n_chars"))
+    flat = tables.nested_edges(tables.read_json(spark, path, layout, lines=True)).select("id", "turn", "role", F.length("text").alias("n_chars"))
+    tables.write_csv(flat, f"{path}-flat", flat.columns)
+    return tables.read_csv(spark, f"{path}-flat", flat.schema)
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, 25 AS n_rows, true AS reported FROM nation")
@@ -402,14 +405,15 @@ def q60_pregraph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'nodes' AS metric, count(*) AS value FROM (SELECT n_name AS n FROM nation UNION SELECT r_name FROM region) UNION ALL SELECT 'death', count(*) FILTER (n_nationkey % 5 = 0) FROM nation UNION ALL SELECT 'none', count(*) FILTER (n_nationkey % 5 <> 0) FROM nation
-UNION ALL SELECT 'unreachable', (SELECT count(*) FROM (SELECT n_name AS n FROM nation UNION SELECT r_name FROM region)) - 1 - (SELECT count(*) FROM nation WHERE n_regionkey = 1)""")
+UNION ALL SELECT 'targets', count(*) FROM (SELECT n_name FROM nation UNION SELECT r_name FROM region) UNION ALL SELECT 'unreachable', (SELECT count(*) FROM (SELECT n_name AS n FROM nation UNION SELECT r_name FROM region)) - 1 - (SELECT count(*) FROM nation WHERE n_regionkey = 1)""")
 def q61_nodes_and_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     edges = r.join(n, r["r_regionkey"] == n["n_regionkey"]).select(F.col("r_name").alias("source_id"), F.col("n_name").alias("target_id"))
     nodes, start = relational.unique_nodes(edges), r.where("r_regionkey = 1").select(F.col("r_name").alias("node_id"))
     one = lambda d, name: d.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
     endings = diff.ending_counts(n.select(F.when(F.col("n_nationkey") % 5 == 0, "death").otherwise("none").alias("absorbing_status")))
-    return one(nodes, "nodes").unionAll(endings.select(F.col("absorbing_status").alias("metric"), F.col("n").alias("value"))).unionAll(one(markov.unreachable(spark, edges, start, nodes), "unreachable"))
+    targets = one(C.union_keys((n, "n_name"), (r, "r_name"), (n, "n_name")), "targets")
+    return one(nodes, "nodes").unionAll(targets).unionAll(endings.select(F.col("absorbing_status").alias("metric"), F.col("n").alias("value"))).unionAll(one(markov.unreachable(spark, edges, start, nodes), "unreachable"))
 
 
 @query(values([("duplicate pair", "1->2", "2"), ("source outside the corpus", "9", ""), ("target outside the corpus", "77", ""), ("edges differ from choices", "1", "3/2"), ("edges differ from choices", "2", "0/1"), ("edges differ from choices", "4", "2/1"), ("no way out", "2", "?"), ("no way out", "3", "win"), ("value does not fit the type", "1->77", ""), ("axes do not fit the type", "4->1", ""), ("only choice not forced", "4->1", ""), ("never a target", "4", "")], '"check", key, detail'))
@@ -503,3 +507,20 @@ def q69_selected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     put(spark, f"{path}/p.json", json.dumps([{"profile_id": p} for p in ("5-LOW", "1-URGENT")]))
     d = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("profile_id")).agg(F.count("*").alias("n"))
     return tables.select_profiles(d, tables.load_profile_ids(spark, f"{path}/p.json"))
+
+
+@query("""SELECT 'edge' AS kind, CAST(n_nationkey AS VARCHAR) AS a, CAST(n_regionkey AS VARCHAR) AS b, 'Go turn' AS text FROM nation WHERE n_nationkey % 6 <> 5 AND n_nationkey <> 24 UNION ALL SELECT 'edge', CAST(n_nationkey AS VARCHAR), CAST(n_nationkey + 1 AS VARCHAR), 'Or see turn' FROM nation WHERE n_nationkey % 6 <> 5 AND n_nationkey <> 24
+UNION ALL SELECT 'node', CAST(n_nationkey AS VARCHAR), '', """ + _TEXT + """ FROM nation WHERE n_nationkey <> 24""")
+def q70_simple_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a bare graph."""
+    nodes, edges = html.simple_graph(html.parse_pages(pages(spark, sf_dir)))
+    return edges.select(F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("edge_text").alias("text")).unionAll(nodes.select(F.lit("node"), "node_id", F.lit(""), "text_content"))
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS id, 'pending' AS state FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'no list of edges' FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0""")
+def q71_resumed_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a broken-off run still has to ask, and the stored answers that can't be read."""
+    n = table(spark, sf_dir, "nation").withColumn("id", F.col("n_nationkey").cast("string"))
+    stored = n.where("n_regionkey = 2").select("id", F.when(F.col("n_nationkey") % 2 == 0, "broken {").otherwise('{"edges": []}').alias("answer"))
+    left = annotate.pending(n.select("id", F.col("n_name").alias("text")), stored)
+    return left.select("id", F.lit("pending").alias("state")).unionAll(annotate.quarantine(stored).select("id", "error"))

@@ -77,6 +77,15 @@ def edge_key(source: Column, target: Column) -> Column:
     return F.concat_ws("->", source.cast("string"), target.cast("string"))
 
 
+def provenance(origin: str, line: Column) -> Column:
+    """Where a row came from: its file, or how it was made, and the line or key."""
+    return F.concat_ws(":", F.lit(origin), line.cast("string"))
+
+
+def comes_from(reference: Column, origin: str) -> Column:
+    return reference.startswith(f"{origin}:")
+
+
 def edge_id(n: Column) -> Column:
     return F.format_string("e%04d", n)
 

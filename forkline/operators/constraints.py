@@ -29,6 +29,11 @@ def shared(a: DataFrame, b: DataFrame, column: str, check: str) -> DataFrame:
     return a.select(column).distinct().join(b.select(column), column, "left_semi").select(F.lit(check).alias("check"), F.col(column).cast("string").alias("key"), F.lit("").alias("detail"))
 
 
+def union_keys(*sides: tuple[DataFrame, str]) -> DataFrame:
+    """(key): the values of a column of each side, once."""
+    return reduce(DataFrame.union, (d.select(F.col(c).alias("key")) for d, c in sides)).distinct()
+
+
 def duplicates(df: DataFrame, keys: list[str], check: str) -> DataFrame:
     counted = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
     return counted.select(F.lit(check).alias("check"), F.concat_ws("->", *(F.col(k).cast("string") for k in keys)).alias("key"), F.col("n").cast("string").alias("detail"))

@@ -62,6 +62,11 @@ def annotate_with(paragraphs: DataFrame, instructions: str, model: Callable[[lis
     return edges.select("e.*", "position").select(*(F.coalesce(c, F.lit("")).alias(c) for c in schemas.EDGES.names), "position")
 
 
+def pending(paragraphs: DataFrame, done: DataFrame) -> DataFrame:
+    """Paragraphs that no stored answer (id) is there for: a run that was broken off goes on with these."""
+    return paragraphs.join(done.select("id").distinct(), "id", "left_anti")
+
+
 def quarantine(answers: DataFrame) -> DataFrame:
     """Answers that hold no readable list of edges: (id, answer, error)."""
     parsed = F.from_json("answer", "edges array<struct<source_id:string>>")

@@ -57,8 +57,7 @@ def q01_transition_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source_id")
-    return q01_transition_edges(spark, sf_dir).withColumn("w", F.col("n") / F.sum("n").over(w))
+    return relational.share(q01_transition_edges(spark, sf_dir), "n", ["source_id"], "w")
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:

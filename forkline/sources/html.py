@@ -175,6 +175,14 @@ def nodes(parsed: DataFrame, pages: int | None = None) -> DataFrame:
     return rows.select(*(F.col(f.name).cast(f.dataType) for f in schemas.NODES.fields)).orderBy(F.expr("try_cast(node_id AS bigint)"), "node_id")
 
 
+def simple_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, text_content) and edges (source_id, target_id, edge_text) without annotation, in numeric order."""
+    number = lambda c: F.expr(f"try_cast({c} AS bigint)")
+    own = parsed.where("has_main").select(F.col("page_id").alias("node_id"), narrative().alias("text_content"))
+    edges = choices(parsed).where("target_id IS NOT NULL").select("source_id", "target_id", "edge_text")
+    return own.orderBy(number("node_id"), "node_id"), edges.orderBy(number("source_id"), number("target_id"), "edge_text")
+
+
 def skipped(parsed: DataFrame) -> DataFrame:
     """Pages without a main text and choices without an address, for the log."""
     pages = parsed.where("not has_main").select("page_id", F.lit("no main text").alias("problem"))
