@@ -101,7 +101,7 @@ def profiles(table: DataFrame) -> DataFrame:
         bad = bad | ~F.col(axis).isin(*levels)
     none = table.agg(F.count("*").alias("n"))
     return all_of(
-        keys(table, schemas.PROFILES.names, "profile keys"),
+        keys(table.drop("ord"), schemas.PROFILES.names, "profile keys"),  # the design carries its order
         violations(none, "no profile", F.lit(""), F.col("n") == 0),
         duplicates(table, ["profile_id"], "profile twice"),
         violations(table, "profile outside the design", F.col("profile_id"), F.coalesce(bad, F.lit(True))),
