@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a side may have to be sent to every task.
+SMALL = 10_000
+
+
+def broadcast_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """Rows of both sides paired by their place in each key's order; unpaired rows are kept with nulls."""
     place = lambda d, order: d.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

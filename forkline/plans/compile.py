@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forkline import schemas
 from forkline.functions import weights as W
+from forkline.operators.relational import broadcast_small
 
 # Default settings.
 DEFAULTS = {"kai_availability": 0.5, "combat_win_probability": 0.833, "escape_probability": 0.5, "has_condition": 0.5, "choice_affinities": {"matching": 2.0, "neutral": 1.0, "opposed": 0.5}}
@@ -29,10 +30,10 @@ def profile_design(spark: SparkSession) -> DataFrame:
 def compile_edges(edges: DataFrame, profiles: DataFrame, settings: Column | None = None) -> DataFrame:
     """Every edge for every profile, with ``compiled_weight`` and ``problem``.
 
-    The profiles are a designed table of a few rows (levels to the power of axes), so they are sent
-    to the edges; shares are windows over (profile, source).
+    The profiles are a designed table of a few rows (levels to the power of axes); once counted, they
+    are sent to the edges. Shares are windows over (profile, source).
     """
-    crossed = edges.join(F.broadcast(profiles.select(*schemas.PROFILES.names)), how="cross")
+    crossed = edges.crossJoin(broadcast_small(profiles.select(*schemas.PROFILES.names)))
     parsed = crossed.withColumn("form", W.parse(F.col("weight_expression")))
     return W.weight(parsed, settings if settings is not None else settings_column()).drop("form", *schemas.LEVELS)
 
@@ -41,7 +42,7 @@ def sparse(compiled: DataFrame, nodes: DataFrame) -> DataFrame:
     """(profile_id, source_id, target_id, w): parallel edges summed, absorbing nodes with a loop of one."""
     summed = compiled.groupBy("profile_id", "source_id", "target_id").agg(F.sum("compiled_weight").alias("w"))
     ends = nodes.where("absorbing = 'true'").select(F.col("node_id").alias("source_id"), F.col("node_id").alias("target_id"), F.lit(1.0).alias("w"))
-    loops = compiled.select("profile_id").distinct().join(F.broadcast(ends), how="cross").select("profile_id", "source_id", "target_id", "w")
+    loops = compiled.select("profile_id").distinct().crossJoin(broadcast_small(ends)).select("profile_id", "source_id", "target_id", "w")
     return summed.unionByName(loops)
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Nodes of a chain that one task solves; beyond them ``propagate`` is the way.
+DENSE = 8_000
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """Checkpoints go to the session's ``spark.checkpoint.dir``; a local folder only where it is unset."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -25,6 +29,8 @@ def _matrices(pdf: pd.DataFrame, outcomes: list[str]) -> tuple[list[str], np.nda
     """(transient nodes, Q, R)."""
     inner = sorted(set(pdf["source_id"]) | set(pdf["target_id"]) - set(outcomes), key=str)
     inner = [n for n in inner if n not in outcomes]
+    if len(inner) > DENSE:
+        raise ValueError(f"{len(inner)} nodes are too many for one dense system: use propagate")
     at, end = {n: i for i, n in enumerate(inner)}, {n: i for i, n in enumerate(outcomes)}
     q, r = np.zeros((len(inner), len(inner))), np.zeros((len(inner), len(outcomes)))
     for s, t, w in zip(pdf["source_id"], pdf["target_id"], pdf["w"], strict=True):
