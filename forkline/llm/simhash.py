@@ -40,7 +40,7 @@ BLOCK = 8
 #: A probe is a row that is made, shuffled and sorted; it costs more than a comparison of two numbers.
 PROBE = 4
 #: A value of more than TILE indexed rows is cut into tiles.
-TILE = 1024
+TILE = 4096
 #: Fingerprints chained within so many bits are one group when similarities are verified.
 CHAIN = 3
 #: Shingle sets of one side of a verified block.
