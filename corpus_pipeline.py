@@ -24,6 +24,8 @@ from forkline.llm.common import Scratch, table
 
 RADIUS = 6
 SIMILARITY = 0.8
+#: Words that a worker's codec remembers in a generation, fewer than where it runs alone.
+REMEMBERED = 200_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_tok.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # a worker of this stage has been one of the other stages and holds their indexes too
+    return sentencepiece_tok.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

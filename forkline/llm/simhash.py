@@ -285,7 +285,7 @@ def _whole_blocks(it: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _close(t: pa.Table, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(t: pa.Table, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers (query, row) of the pairs within the radius in each block of ``t``, each from its lesser node."""
     new = np.zeros(t.num_rows, dtype=bool)
     new[0] = True
