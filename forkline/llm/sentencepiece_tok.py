@@ -6,16 +6,14 @@ its white-space switches. From these a ``tokenizers.Tokenizer`` is rebuilt: the
 metaspace marker U+2581, unigram scores (or, for a BPE model, the merges in the order of the
 scores of their results) and byte fallback; and its decoder.
 
-Words at a time: where no piece of the vocabulary holds a marker after another character, no
-merge or unigram path crosses into a word's marker (nor, with byte fallback, over a line end that
-no piece holds), so a text's ids are those of its marker-led words and line ends in turn. Each distinct word is encoded once per worker, in multithreaded batches,
-and compared with the sentencepiece library's ids (``parity``). Without that property whole
-texts are encoded.
+Every text is encoded raw and whole by that tokenizer, in multithreaded batches, and compared with
+the ids that the sentencepiece library gives the same raw whole text (``parity``). No text is cut,
+and none is left uncompared.
 
 Cases: null and empty texts have no ids and decode to the empty text; control pieces in a text
-are ordinary characters; very long texts are encoded whole, word by word; repeated rows give
-repeated results; an empty table gives an empty result; other columns are kept by ``encode`` and
-never read.
+are ordinary characters; very long texts are encoded whole, in batches of their own; repeated rows
+give repeated results; an empty table gives an empty result; other columns are kept by ``encode``
+and never read.
 """
 
 from __future__ import annotations
@@ -32,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forkline.llm.common import Remembered, batches, strings
+from forkline.llm.common import batches, strings
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words a generation of a worker's memory holds.
-REMEMBERED = 500_000
+#: Characters that are encoded at once; a longer text goes alone.
+CHARACTERS = 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,10 +84,6 @@ class Model:
     def unk(self) -> int:
         return next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
 
-    @property
-    def splits_at_marks(self) -> bool:
-        return not any(MARK in p.lstrip(MARK) for p, _, k in self.pieces if k in (NORMAL, USER))
-
 
 def parse_model(path: str) -> Model:
     m = Model()
@@ -131,7 +125,7 @@ def normaliser(m: Model):
 
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.collapse_spaces:
-        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" +"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" +"), " ")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if m.escape_spaces:
@@ -162,16 +156,28 @@ def build(m: Model):
     return t
 
 
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in lists of at most ``CHARACTERS`` characters, so that memory follows the longest text."""
+    out, n = [], 0
+    for x in texts:
+        if out and n + len(x) > CHARACTERS:
+            yield out
+            out, n = [], 0
+        out.append(x)
+        n += len(x)
+    if out:
+        yield out
+
+
 class Codec:
-    """Encodes and decodes with the rebuilt tokenizer; ``checked`` compares new words with the library."""
+    """Encodes and decodes whole texts with the rebuilt tokenizer; ``checked`` compares each with the library."""
 
-    def __init__(self, path: str, checked: bool = True, threads: int = 2, remembered: int = REMEMBERED):
+    def __init__(self, path: str, checked: bool = True, threads: int = 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model, self.threads = parse_model(path), threads
         self.twin = build(self.model)
-        self.normaliser = normaliser(self.model)
-        self.known = Remembered(remembered)  # word -> (ids, parity)
+        self.twin.normalizer = normaliser(self.model)
         self.library = None
         if checked:
             import sentencepiece
@@ -181,9 +187,6 @@ class Codec:
 
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.bytes = np.array([k == BYTE for _, _, k in self.model.pieces])
-        self.table = [bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
-        lines = self.model.byte_fallback and not any("\n" in p for p, _, _ in self.model.pieces)
-        self.word = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -197,65 +200,30 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if m.escape_spaces else text
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            piece = words[at : at + 20_000]
-            ids = [e.ids for e in self.twin.encode_batch_fast(piece, add_special_tokens=False)]
-            same = [True] * len(piece)
-            if self.library:
-                back = self.twin.decode_batch(ids, skip_special_tokens=False)
-                mine = self.decode([np.array(i, dtype=np.int32) for i in ids])
-                same = [a == b and c == d for a, b, c, d in zip(ids, self._library_ids(piece), back, mine, strict=True)]
-            for w, i, ok in zip(piece, ids, same, strict=True):
-                self.known.new[w] = (np.array(i, dtype="<u4").tobytes(), ok)
-
-    def _library_ids(self, words: list[str]) -> list[list[int]]:
-        """The library's ids of normalised words.
-
-        It puts a marker before what it gets: a word that leads one gives it up, any other is
-        encoded behind a line end, whose two ids are dropped.
-        """
-        if not self.model.dummy_prefix:
-            return self.library.encode([w.replace(MARK, " ") for w in words], num_threads=self.threads)
-        led = [w.startswith(MARK) for w in words]
-        plain = [w[1:].replace(MARK, " ") if x else "\n" + w.replace(MARK, " ") for w, x in zip(words, led, strict=True)]
-        got = self.library.encode([p or " " for p in plain], num_threads=self.threads)
-        lone = self.library.piece_to_id(MARK)
-        return [([lone] if not p else i if x else i[2:]) for p, i, x in zip(plain, got, led, strict=True)]
-
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether all its words have the library's ids."""
-        whole = not self.model.splits_at_marks
-        words = [[x] if whole and x else self.word.findall(x) for x in map(self.normalise, texts)]
-        self._learn(self.known.missing({w for ws in words for w in ws}))
-        known = self.known.new
-        got = [[known[w] for w in ws] for ws in words]
-        return [np.frombuffer(b"".join([g[0] for g in gs]), dtype="<u4") for gs in got], [all([g[1] for g in gs]) for gs in got]
+        """Ids of each raw whole text, and whether they are the library's."""
+        ids, same = [], []
+        for some in _portions(texts):
+            got = [np.array(e.ids, dtype="<u4") for e in self.twin.encode_batch_fast(some, add_special_tokens=False)]
+            same += self.agrees(some, got) if self.library else [True] * len(some)
+            ids += got
+        return ids, same
 
     def agrees(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
-        """Whether raw whole texts have these ids by the library, and by the twin behind the tokenizers library's normaliser."""
-        mine, theirs = self.twin.encode_batch_fast([self.normaliser.normalize_str(x) for x in texts], add_special_tokens=False), self.library.encode(texts, num_threads=self.threads)
-        return [a.ids == b == i.tolist() for a, b, i in zip(mine, theirs, ids, strict=True)]
+        """Whether raw whole texts have these ids by the library."""
+        return [a == i.tolist() for a, i in zip(self.library.encode(texts, num_threads=self.threads), ids, strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """Texts of ids. Pieces are joined from a table; where their bytes aren't UTF-8, the twin's
-        decoder replaces them. ``_learn`` holds the table against that decoder."""
-        out, table, skip = [], self.table, self.model.dummy_prefix
-        for i in ids:
-            raw = b"".join([table[x] for x in i.tolist()])
-            try:
-                out.append((raw[1:] if skip and raw[:1] == b" " else raw).decode())
-            except UnicodeDecodeError:
-                out.append(self.twin.decode(i.tolist(), skip_special_tokens=False))
-        return out
+        """Texts of ids, by the rebuilt tokenizer's decoder."""
+        return self.twin.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
 
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, checked: bool = True, threads: int = 2, remembered: int = REMEMBERED) -> Codec:
+def codec(path: str, checked: bool = True, threads: int = 2) -> Codec:
     """The codec of this worker."""
-    key = (path, checked, threads, remembered)
+    key = (path, checked, threads)
     if key not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
@@ -289,23 +257,19 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", threads: int = 2)
     return encoded.select(key, "ids").mapInArrow(run, f"{key} {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", threads: int = 2, remembered: int = REMEMBERED) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", threads: int = 2) -> DataFrame:
     """One row a document: ids counted and checksummed, decoded again in the same pass.
 
     n_tokens; n_byte_tokens (ids of byte pieces); ids_crc32 (little-endian unsigned 32-bit);
-    parity (each word has the sentencepiece library's ids; for ids divisible by 100 also the raw
-    whole text, by the library and by the twin behind the tokenizers library's normaliser); n_decoded (code points decoded);
-    round_trip (the decoded text is the normalised one).
+    parity (the sentencepiece library gives the raw whole text the same ids; every row is compared);
+    n_decoded (code points decoded); round_trip (the decoded text is the normalised one).
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, True, threads, remembered)
+        c = codec(path, True, threads)
         for b in batches(it, 200):
             texts = strings(b.column(1))
             ids, same = c.encode(texts)
-            if taken := [k for k, i in enumerate(b.column(0).to_pylist()) if isinstance(i, int) and i % 100 == 0]:
-                for k, ok in zip(taken, c.agrees([texts[k] for k in taken], [ids[k] for k in taken]), strict=True):
-                    same[k] = same[k] and ok
             back = c.decode(ids)
             plain = [c.normalise(x).replace(MARK, " ") for x in texts]
             plain = [x[1:] if c.model.dummy_prefix else x for x in plain]

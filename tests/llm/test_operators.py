@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -236,6 +237,46 @@ def test_unigram_model_is_rebuilt():
     assert sentencepiece_tok.build(m).encode("▁abab", add_special_tokens=False).ids == [2, 5]
 
 
+def across_words(folder) -> str:
+    """A BPE model whose unused piece a_b takes the b from a word behind "a ": "bc" is one piece, "a bc" is _ a _b c."""
+    field = lambda n, raw: bytes([n << 3 | 2, len(raw)]) + raw
+    pieces = [("<unk>", 0.0, 2), ("▁", -9.0, 1), ("a", -9.0, 1), ("b", -9.0, 1), ("c", -9.0, 1), ("▁b", -1.0, 1), ("a▁b", -2.0, 5), ("▁bc", -3.0, 1)]
+    raw = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([24, k])) for p, s, k in pieces)
+    path = folder / "across.model"
+    path.write_bytes(raw + field(2, bytes([24, 2])) + field(3, field(1, b"identity") + bytes([24, 1, 32, 0, 40, 1])))
+    return str(path)
+
+
+def test_parity_compares_every_whole_text(spark, tmp_path):
+    """Single words agreed with the library here, and only ids divisible by 100 were compared whole."""
+    import sentencepiece
+
+    path = across_words(tmp_path)
+    assert sentencepiece.SentencePieceProcessor(model_file=path).encode(["a bc", "bc", "a"]) == [[1, 2, 5, 4], [7], [1, 2]]
+    d = spark.createDataFrame([(1, "a bc"), (2, "bc"), (3, "a"), (100, "a bc"), (None, "a bc"), (4, None)], "doc_id long, text string")
+    want = {1: False, 2: True, 3: True, 100: False, None: False, 4: True}
+    assert {r["doc_id"]: r["parity"] for r in sentencepiece_tok.round_trip(d, path).collect()} == want
+    assert {r["doc_id"]: r["parity"] for r in sentencepiece_tok.encode(d, path).collect()} == want
+
+
+def test_normaliser_strips_the_text_not_its_lines(tmp_path):
+    codec = sentencepiece_tok.Codec(across_words(tmp_path))
+    codec.model.collapse_spaces = True
+    n = sentencepiece_tok.normaliser(codec.model)
+    for x in ("  a  b ", "a \n  b\n", " \n ", "   ", ""):
+        assert n.normalize_str(x) == codec.normalise(x)
+
+
+def test_long_texts_are_encoded_in_portions(monkeypatch):
+    codec = sentencepiece_tok.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    x = [prose(7, 300), "", "a", prose(8, 20), "", prose(9, 900)]
+    whole = [i.tolist() for i in codec.encode(x)[0]]
+    monkeypatch.setattr(sentencepiece_tok, "CHARACTERS", 200)
+    assert [y for some in sentencepiece_tok._portions(x) for y in some] == x and len(list(sentencepiece_tok._portions(x))) > 2
+    ids, same = codec.encode(x)
+    assert [i.tolist() for i in ids] == whole and same == [True] * len(x)
+
+
 # 5
 def test_suffix_arrays():
     rng = random.Random(2)
