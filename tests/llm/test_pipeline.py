@@ -76,3 +76,16 @@ def test_run_is_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+
+
+def test_last_stage_compares_every_whole_text(spark, tmp_path, monkeypatch):
+    """Parity rested on single words there, but for ids divisible by 100."""
+    import public_tokenizers
+
+    import corpus_pipeline as p
+    from tests.llm.test_operators import across_words
+
+    path = across_words(tmp_path)
+    monkeypatch.setattr(public_tokenizers, "path", lambda name: path)
+    docs = spark.createDataFrame([(1, "a bc"), (2, "bc"), (100, "a bc")], "doc_id long, text string")
+    assert {r["doc_id"]: r["parity"] for r in dict(p.STAGES)["sentencepiece"](spark, docs, DATA).collect()} == {1: False, 2: True, 100: False}
