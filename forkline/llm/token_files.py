@@ -56,57 +56,69 @@ class FileSet(NamedTuple):
         return sum(m["n_tokens"] for m in self.manifest)
 
 
-_MARKED = re.compile(r"([A-Za-z]+)([^A-Za-z0-9\s\x00-\x20\x7f]*)$")
+_MARKED = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9\s\x00-\x20\x7f]*)$")
 _encoders: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of this worker, its memory of words, its added tokens and which ids end a word."""
+    """The tokenizer of this worker, its memory of words, its added tokens, which ids end a word and
+    whether it lower-cases."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        special = [a.content for a in t.get_added_tokens_decoder().values()]
+        special = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
         suffix, ends = getattr(t.model, "end_of_word_suffix", None), None
         if suffix:
             ends = np.zeros(t.get_vocab_size(), dtype=bool)
             ends[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
-        _encoders[path] = (t, Remembered(REMEMBERED), special, ends)
+        _encoders[path] = (t, Remembered(REMEMBERED), special, ends, t.normalizer is not None and t.normalizer.normalize_str("A") == "a")
     return _encoders[path]
 
 
+def _folded(raw: bytes, special: list[bytes]) -> bytes:
+    """``raw`` with A-Z in lower case, where that can't change its ids under a tokenizer that lower-cases.
+
+    Left alone are texts with U+0300 to U+037F (lead bytes CC and CD), which may compose with the small
+    letter only, and texts where an added token's string would come about.
+    """
+    low = raw.lower()
+    return raw if b"\xcc" in raw or b"\xcd" in raw or any(s.lower() in low for s in special) else low
+
+
 def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[bytes]:
     """Ids of each text as packed bytes.
 
     ``split``: the tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words (``str.split(' ')`` and line ends) in turn; each distinct word is encoded
-    once. Texts with an added token's string are encoded whole.
+    those of its words (``split(' ')`` and line ends) in turn; each distinct word is encoded
+    once, in UTF-8 and lower case. Texts with an added token's string are encoded whole.
     """
-    t, known, special, ends = _tokenizer(path)
+    t, known, special, ends, lowers = _tokenizer(path)
     pack = lambda ids: np.array(ids, dtype=item).tobytes()
     if not split:
         return [pack(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    words = [None if any(s in x for s in special) else x.replace("\n", " ").split(" ") for x in texts]
-    # nearly all words are known: one look-up each, and only the others are gathered
-    get = known.new.get
-    found = [None if ws is None else list(map(get, ws)) for ws in words]
-    new = known.missing({w for ws, r in zip(words, found, strict=True) if r is not None and None in r for w, v in zip(ws, r, strict=True) if v is None})
+    raws = [x.encode() for x in texts]
+    words = [None if any(s in x for s in special) else (_folded(x, special) if lowers else x).replace(b"\n", b" ").split(b" ") for x in raws]
+    known.missing(())  # a new generation begins here or not before the next texts
     memory = known.new
+    new = known.missing(set().union(*(ws for ws in words if ws is not None)).difference(memory), turn=False)
     # an ASCII word with marks behind it gives the pieces of the lower-case word, then those of the marks
     made = []
     if ends is not None:
         for w in new:
-            if w.isascii() and (m := _MARKED.match(w)) and (m[2] or not w.islower()):
-                made.append((w, m[1].lower(), m[2]))
+            if w.isascii() and (m := _MARKED.match(w)):
+                low = m[1].lower() if lowers else m[1]
+                if m[2] or low != w:
+                    made.append((w, low, m[2]))
         taken = {w for w, _, _ in made}
         parts = {p for _, a, b in made for p in (a, b) if p}
         new = [w for w in new if w not in taken]
-        new += known.missing(parts.difference(new), turn=False)
+        new += known.missing(parts.difference(new, memory), turn=False)
     # words of a-z alone give one piece each, which ends with a word-end token: many go as one text
     plain = [w for w in new if w.isascii() and w.isalpha()] if ends is not None else []
     for at in range(0, len(plain), 20_000):
         piece = plain[at : at + 20_000]
-        rows = [" ".join(piece[i : i + 500]) for i in range(0, len(piece), 500)]
+        rows = [b" ".join(piece[i : i + 500]).decode() for i in range(0, len(piece), 500)]
         ids = np.concatenate([np.array(e.ids, dtype=item) for e in t.encode_batch_fast(rows, add_special_tokens=False)])
         cuts = np.flatnonzero(ends[ids]) + 1
         raw, size = ids.tobytes(), ids.itemsize
@@ -116,16 +128,12 @@ def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[by
     rest = [w for w in new if w not in memory] if plain else new
     for at in range(0, len(rest), 20_000):
         piece = rest[at : at + 20_000]
-        for w, e in zip(piece, t.encode_batch_fast(piece, add_special_tokens=False), strict=True):
+        for w, e in zip(piece, t.encode_batch_fast([w.decode() for w in piece], add_special_tokens=False), strict=True):
             memory[w] = pack(e.ids)
     for w, a, b in made:
         memory[w] = memory[a] + memory[b] if b else memory[a]
-    for k, (x, ws, r) in enumerate(zip(texts, words, found, strict=True)):
-        if ws is None:
-            found[k] = [pack(t.encode(x, add_special_tokens=False).ids)]
-        elif None in r:
-            found[k] = [memory[w] if v is None else v for w, v in zip(ws, r, strict=True)]
-    return [b"".join(r) for r in found]
+    known_ids = memory.__getitem__
+    return [pack(t.encode(x, add_special_tokens=False).ids) if ws is None else b"".join(map(known_ids, ws)) for x, ws in zip(texts, words, strict=True)]
 
 
 def splits_at_spaces(path: str) -> bool:

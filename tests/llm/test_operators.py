@@ -211,6 +211,33 @@ def test_words_apart_equal_whole_texts():
     assert token_files.encode_texts(path, odd, "<u2", True) == whole
 
 
+def test_words_are_learned_in_lower_case(monkeypatch):
+    """Each spelling of a word was learned by itself; what small letters alone compose with stays as it is."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "_encoders", {})
+    t = Tokenizer.from_file(path)
+    accents = [c + chr(m) + d for c in "aAhHiIjJtTwWyY" for m in (*range(0x300, 0x370), 0x2BE) for d in ("", "B,")]
+    odd = ["Loud LOUD loud. LOUD. Éa éA ÉA", "J\u030c j\u030c H\u0331 T\u0308", "<|ENDOFTEXT|> A", "<|endoftext|>A <|EndOfText|>", "ΣΑΣ Σ, \u212a \u0130I", "A" * 50_000 + "b", " ".join(accents), *accents]
+    assert token_files.encode_texts(path, odd, "<u2", True) == [np.array(e.ids, dtype="<u2").tobytes() for e in t.encode_batch(odd, add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "_encoders", {})
+    token_files.encode_texts(path, ["Loud LOUD loud", "Éa éa ÉA"], "<u2", True)
+    assert len(token_files._tokenizer(path)[1].new) == 3  # loud, éa, Éa: only A-Z are folded
+
+
+def test_words_outlive_generations(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "_encoders", {})
+    monkeypatch.setattr(token_files, "REMEMBERED", 10)
+    t = Tokenizer.from_file(path)
+    for seed in (*range(8), 3, 0):
+        x = [prose(seed, 30) + " Don't,", "", prose(seed + 1, 9).upper() + "!!"]
+        assert token_files.encode_texts(path, x, "<u2", True) == [np.array(e.ids, dtype="<u2").tobytes() for e in t.encode_batch(x, add_special_tokens=False)]
+
+
 # 4
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
