@@ -6,9 +6,9 @@ its white-space switches. From these a ``tokenizers.Tokenizer`` is rebuilt: the
 metaspace marker U+2581, unigram scores (or, for a BPE model, the merges in the order of the
 scores of their results) and byte fallback; and its decoder.
 
-Every text is encoded raw and whole by that tokenizer, in multithreaded batches, and compared with
-the ids that the sentencepiece library gives the same raw whole text (``parity``). No text is cut,
-and none is left uncompared.
+Every text is normalised and encoded whole by that tokenizer, in multithreaded batches, and compared
+with the ids that the sentencepiece library gives the same raw whole text (``parity``). No text is cut,
+and none is left uncompared. All ids of every text are decoded again.
 
 Cases: null and empty texts have no ids and decode to the empty text; control pieces in a text
 are ordinary characters; very long texts are encoded whole, in batches of their own; repeated rows
@@ -37,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that are encoded at once; a longer text goes alone.
 CHARACTERS = 1_000_000
+#: Pieces that the decoder takes for a byte.
+_FALLBACK = re.compile("<0x[+0-9A-Fa-f][0-9A-Fa-f]>")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -177,7 +179,6 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model, self.threads = parse_model(path), threads
         self.twin = build(self.model)
-        self.twin.normalizer = normaliser(self.model)
         self.library = None
         if checked:
             import sentencepiece
@@ -187,8 +188,11 @@ class Codec:
 
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.bytes = np.array([k == BYTE for _, _, k in self.model.pieces])
+        pieces = [self.twin.id_to_token(i) or "" for i in range(len(self.model.pieces))]
+        self.table = [bytes([int(p[3:5], 16)]) if _FALLBACK.fullmatch(p) else p.replace(MARK, " ").encode() for p in pieces]
 
     def normalise(self, text: str) -> str:
+        """What ``normaliser`` makes of a text, without its bookkeeping of places."""
         m = self.model
         if self.charsmap:
             text = self.charsmap.normalize_str(text)
@@ -204,18 +208,35 @@ class Codec:
         """Ids of each raw whole text, and whether they are the library's."""
         ids, same = [], []
         for some in _portions(texts):
-            got = [np.array(e.ids, dtype="<u4") for e in self.twin.encode_batch_fast(some, add_special_tokens=False)]
-            same += self.agrees(some, got) if self.library else [True] * len(some)
-            ids += got
+            got = [e.ids for e in self.twin.encode_batch_fast([self.normalise(x) for x in some], add_special_tokens=False)]
+            same += [a == b for a, b in zip(self.theirs(some), got, strict=True)] if self.library else [True] * len(some)
+            ids += [np.array(i, dtype="<u4") for i in got]
         return ids, same
 
+    def theirs(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of raw whole texts."""
+        return self.library.encode(texts, num_threads=self.threads)
+
     def agrees(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
         """Whether raw whole texts have these ids by the library."""
-        return [a == i.tolist() for a, i in zip(self.library.encode(texts, num_threads=self.threads), ids, strict=True)]
+        return [a == i.tolist() for a, i in zip(self.theirs(texts), ids, strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """Texts of ids, by the rebuilt tokenizer's decoder."""
-        return self.twin.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        """Texts of ids, as the rebuilt tokenizer's decoder gives them.
+
+        The bytes of all pieces are joined. Pieces begin and end at whole characters, so where the bytes
+        are UTF-8 every run of byte pieces is too, and the decoder joins them alike; other texts, whose
+        bytes it replaces, and ids of no piece go through it.
+        """
+        out, piece, skip = [], self.table.__getitem__, self.model.dummy_prefix
+        for i in (i.tolist() for i in ids):
+            try:
+                text = b"".join(map(piece, i)).decode()
+            except (UnicodeDecodeError, IndexError):
+                out.append(self.twin.decode(i, skip_special_tokens=False))
+            else:
+                out.append(text[1:] if skip and text[:1] == " " else text)
+        return out
 
 
 _codecs: dict[tuple, Codec] = {}

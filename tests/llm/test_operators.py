@@ -294,6 +294,20 @@ def test_normaliser_strips_the_text_not_its_lines(tmp_path):
         assert n.normalize_str(x) == codec.normalise(x)
 
 
+def test_texts_are_joined_from_pieces_as_the_decoder_joins_them(monkeypatch):
+    """Every text went through the decoder, piece by piece; only those whose bytes are no UTF-8 need it."""
+    codec = sentencepiece_tok.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rng, byte = random.Random(4), np.flatnonzero(codec.bytes).tolist()
+    ids = codec.encode(["", " ", "  a", "😀 日本語 ▁ ▁▁ \x00", "<0x41> <s> é\n", prose(11, 200)])[0]
+    broken = [np.array([rng.choice(byte) if rng.random() < 0.3 else rng.randrange(32_000) for _ in range(30)]) for _ in range(300)]
+    broken += [np.array(x) for x in ([byte[0xE2], byte[0x96], byte[0x81]], [byte[0x20], 300], [byte[0xC3], 300, byte[0xA9]], [40_000, 300])]
+    want = lambda x: codec.twin.decode_batch([i.tolist() for i in x], skip_special_tokens=False)
+    assert codec.decode(ids + broken) == want(ids + broken)
+    whole, decoded = want(ids), []
+    monkeypatch.setattr(codec, "twin", type("Counted", (), {"decode": lambda self, i, **_: decoded.append(i)})())
+    assert codec.decode(ids) == whole and not decoded
+
+
 def test_long_texts_are_encoded_in_portions(monkeypatch):
     codec = sentencepiece_tok.Codec(public_tokenizers.path("piece_bpe_32k.model"))
     x = [prose(7, 300), "", "a", prose(8, 20), "", prose(9, 900)]
