@@ -22,6 +22,7 @@ set; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -30,11 +31,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.llm.common import Remembered, batches, shared_dir, strings
+from forkline.llm.common import Remembered, batches, shared_dir
 
 MAGIC = b"FKTOK001"
 MANIFEST = "name string, part int, n_docs long, n_tokens long"
@@ -56,90 +58,129 @@ class FileSet(NamedTuple):
         return sum(m["n_tokens"] for m in self.manifest)
 
 
-_MARKED = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9\s\x00-\x20\x7f]*)$")
+#: Letters, then ASCII marks. \w holds some numbers that are no digits, so letters are asked for again.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: Small letters that NFC and lower-casing leave as they are.
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
 _encoders: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of this worker, its memory of words, its added tokens, which ids end a word and
-    whether it lower-cases."""
+    """The tokenizer of this worker, its memory of words, its added tokens, which ids end a word,
+    whether it lower-cases, and the same tokenizer for small letters and spaces alone: without the
+    steps that leave these as they are (None where there may be other steps)."""
     if path not in _encoders:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        t = Tokenizer.from_file(path)
-        special = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
+        t, quick = Tokenizer.from_file(path), None
+        special = [a.content for a in t.get_added_tokens_decoder().values()]
         suffix, ends = getattr(t.model, "end_of_word_suffix", None), None
         if suffix:
             ends = np.zeros(t.get_vocab_size(), dtype=bool)
             ends[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
-        _encoders[path] = (t, Remembered(REMEMBERED), special, ends, t.normalizer is not None and t.normalizer.normalize_str("A") == "a")
+        small = "".join(c for c in map(chr, range(256)) if _SMALL.fullmatch(c)) + " a"
+        with open(path, encoding="utf-8") as f:
+            then = ((json.load(f).get("pre_tokenizer") or {}).get("pretokenizers") or [])[1:]
+        if [x.get("type") for x in then] == ["ByteLevel"] and not then[0]["add_prefix_space"] and not then[0]["use_regex"] and (t.normalizer is None or t.normalizer.normalize_str(small) == small):
+            quick = Tokenizer.from_file(path)
+            quick.normalizer = None
+            quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _encoders[path] = (t, Remembered(REMEMBERED), special, ends, t.normalizer is not None and t.normalizer.normalize_str("A") == "a", quick)
     return _encoders[path]
 
 
-def _folded(raw: bytes, special: list[bytes]) -> bytes:
-    """``raw`` with A-Z in lower case, where that can't change its ids under a tokenizer that lower-cases.
+def _any_of(texts: pa.Array, strings: list[str] | list[bytes]) -> pa.Array:
+    """Whether a text holds one of ``strings``."""
+    found = pa.array(np.zeros(len(texts), dtype=bool))
+    for x in strings:
+        found = pc.or_(found, pc.match_substring(texts, x))
+    return found
+
+
+def _folded(texts: pa.Array, special: list[str]) -> pa.Array:
+    """``texts`` with A-Z in lower case, where that can't change their ids under a tokenizer that lower-cases.
 
     Left alone are texts with U+0300 to U+037F (lead bytes CC and CD), which may compose with the small
     letter only, and texts where an added token's string would come about.
     """
-    low = raw.lower()
-    return raw if b"\xcc" in raw or b"\xcd" in raw or any(s.lower() in low for s in special) else low
+    low = pc.ascii_lower(texts)
+    as_is = pc.or_(_any_of(texts.cast(pa.large_binary()), [b"\xcc", b"\xcd"]), _any_of(low, [x.lower() for x in special]))
+    return pc.if_else(as_is, texts, low)
 
 
-def encode_texts(path: str, texts: list[str], item: str, split: bool) -> list[bytes]:
-    """Ids of each text as packed bytes.
+def _learn(words: list[str], t, memory: dict[str, bytes], ends: np.ndarray, item: str) -> list[str]:
+    """Puts words of letters alone into ``memory``; returns those that are to be encoded by themselves.
+
+    Such a word is one piece of the pre-tokenizer, which ends with a word-end token: many go as one
+    text. A row with more word ends than words (a letter may be normalised to a letter and a mark) is
+    given back.
+    """
+    again = []
+    for at in range(0, len(words), 20_000):
+        rows = [words[i : i + 500] for i in range(at, min(at + 20_000, len(words)), 500)]
+        for row, e in zip(rows, t.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=item)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(row) or cuts[-1] != len(ids):
+                again += row
+                continue
+            raw, to = ids.tobytes(), (cuts * ids.itemsize).tolist()
+            for w, a, b in zip(row, [0, *to], to, strict=False):
+                memory[w] = raw[a:b]
+    return again
+
+
+def encode_texts(path: str, texts: list[str] | pa.Array, item: str, split: bool) -> list[bytes]:
+    """Ids of each text as packed bytes; a null text is the empty one.
 
     ``split``: the tokenizer drops white space and never joins across it, so a text's ids are
     those of its words (``split(' ')`` and line ends) in turn; each distinct word is encoded
-    once, in UTF-8 and lower case. Texts with an added token's string are encoded whole.
+    once, in lower case. Texts with an added token's string are encoded whole.
     """
-    t, known, special, ends, lowers = _tokenizer(path)
+    t, known, special, ends, lowers, quick = _tokenizer(path)
     pack = lambda ids: np.array(ids, dtype=item).tobytes()
+    every = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
     if not split:
-        return [pack(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    raws = [x.encode() for x in texts]
-    words = [None if any(s in x for s in special) else (_folded(x, special) if lowers else x).replace(b"\n", b" ").split(b" ") for x in raws]
+        return [pack(e.ids) for e in t.encode_batch_fast(every.to_pylist(), add_special_tokens=False)]
+    whole = _any_of(every, special)
+    column = pc.if_else(whole, "", every)
+    words = pc.split_pattern(pc.replace_substring(_folded(column, special) if lowers else column, "\n", " "), " ")
+    coded = words.values.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     known.missing(())  # a new generation begins here or not before the next texts
     memory = known.new
-    new = known.missing(set().union(*(ws for ws in words if ws is not None)).difference(memory), turn=False)
-    # an ASCII word with marks behind it gives the pieces of the lower-case word, then those of the marks
+    new = known.missing(distinct, turn=False)
+    # a word with marks behind it gives the pieces of its letters, then those of the marks
     made = []
     if ends is not None:
+        rest, letters = [], set()
         for w in new:
-            if w.isascii() and (m := _MARKED.match(w)):
-                low = m[1].lower() if lowers else m[1]
-                if m[2] or low != w:
-                    made.append((w, low, m[2]))
-        taken = {w for w, _, _ in made}
-        parts = {p for _, a, b in made for p in (a, b) if p}
-        new = [w for w in new if w not in taken]
-        new += known.missing(parts.difference(new, memory), turn=False)
-    # words of a-z alone give one piece each, which ends with a word-end token: many go as one text
-    plain = [w for w in new if w.isascii() and w.isalpha()] if ends is not None else []
-    for at in range(0, len(plain), 20_000):
-        piece = plain[at : at + 20_000]
-        rows = [b" ".join(piece[i : i + 500]).decode() for i in range(0, len(piece), 500)]
-        ids = np.concatenate([np.array(e.ids, dtype=item) for e in t.encode_batch_fast(rows, add_special_tokens=False)])
-        cuts = np.flatnonzero(ends[ids]) + 1
-        raw, size = ids.tobytes(), ids.itemsize
-        begins = [0, *(cuts[:-1] * size).tolist()]
-        for w, a, b in zip(piece, begins, (cuts * size).tolist(), strict=True):
-            memory[w] = raw[a:b]
-    rest = [w for w in new if w not in memory] if plain else new
-    for at in range(0, len(rest), 20_000):
-        piece = rest[at : at + 20_000]
-        for w, e in zip(piece, t.encode_batch_fast([w.decode() for w in piece], add_special_tokens=False), strict=True):
+            if (m := _MARKED.fullmatch(w)) and m[1].isalpha():
+                letters.add(m[1])
+                if m[2]:
+                    made.append((w, m[1], m[2]))
+            else:
+                rest.append(w)
+        rest += known.missing({b for _, _, b in made}.difference(rest), turn=False)
+        small, other = [], []
+        for w in known.missing(letters, turn=False):
+            (small if quick and _SMALL.fullmatch(w) else other).append(w)
+        new = rest + _learn(small, quick, memory, ends, item) + _learn(other, t, memory, ends, item)
+    for at in range(0, len(new), 20_000):
+        piece = new[at : at + 20_000]
+        for w, e in zip(piece, t.encode_batch_fast(piece, add_special_tokens=False), strict=True):
             memory[w] = pack(e.ids)
     for w, a, b in made:
-        memory[w] = memory[a] + memory[b] if b else memory[a]
-    known_ids = memory.__getitem__
-    return [pack(t.encode(x, add_special_tokens=False).ids) if ws is None else b"".join(map(known_ids, ws)) for x, ws in zip(texts, words, strict=True)]
+        memory[w] = memory[a] + memory[b]
+    ids = pa.array(list(map(memory.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+    out = pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
+    for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+        out[i] = pack(t.encode(every[i].as_py(), add_special_tokens=False).ids)
+    return out
 
 
 def splits_at_spaces(path: str) -> bool:
     """Whether the tokenizer removes white space before it merges (then words can be encoded apart)."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
@@ -164,8 +205,8 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary
     bounds = _bounds(docs, "id", files)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 500):
-            ids = [x + tail for x in encode_texts(tokenizer, strings(b.column(1)), item, split)]
+        for b in batches(it, 1000):
+            ids = [x + tail for x in encode_texts(tokenizer, b.column(1), item, split)]
             keys = b.column(0)
             part = np.searchsorted(bounds, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys, pa.array(ids, type=pa.binary())], names=["part", "id", "ids"])

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -226,6 +227,34 @@ def test_words_are_learned_in_lower_case(monkeypatch):
     assert len(token_files._tokenizer(path)[1].new) == 3  # loud, éa, Éa: only A-Z are folded
 
 
+def test_words_of_any_letters_are_learned_together(monkeypatch):
+    """Words with other letters than a-z were encoded one by one, with marks behind them once more."""
+    from tokenizers import Tokenizer
+
+    path, rows = public_tokenizers.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(token_files, "_encoders", {})
+    t = Tokenizer.from_file(path)
+    want = lambda x: [np.array(e.ids, dtype="<u2").tobytes() for e in t.encode_batch(x, add_special_tokens=False)]
+    odd = ["क़ क़, ग़a", "ªº ŉ ŉ! ǆ Ǆ. ß ẞ-- ² x² Ⅷ Ⅷ, ⅷ; a٣ ሴ", "éé's e's é'S don't.", "日本 語。 한국어, 각 ſ K Å ø÷", "a\u00a0b\u2003é\x1f", "<|endoftext|> É", "É" * 3000]
+    odd += ["".join(chr(c) + " " + chr(c) + "é, " for c in range(at, at + 0x400)) for at in range(0x20, 0xC000, 0x400)]
+    assert token_files.encode_texts(path, odd, "<u2", True) == want(odd)
+    assert token_files.encode_texts(path, pa.array(["é, a", None, "b"]), "<u2", True) == want(["é, a", "", "b"])
+
+    class Counted:
+        def __init__(self, t):
+            self.t = t
+
+        def encode_batch_fast(self, x, **more):
+            rows.extend(x)
+            return self.t.encode_batch_fast(x, **more)
+
+    known = token_files._encoders[path]
+    token_files._encoders[path] = (Counted(known[0]), common.Remembered(1000), *known[2:-1], Counted(known[-1]))
+    x = " ".join("ñ" + prose(i, 3).replace(" ", "é") + m for i in range(300) for m in ("", "!", ",?", "%"))
+    assert token_files.encode_texts(path, [x], "<u2", True) == want([x])
+    assert len(rows) < 10
+
+
 def test_words_outlive_generations(monkeypatch):
     from tokenizers import Tokenizer
 
