@@ -66,9 +66,9 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(raw: np.ndarray, length: int) -> np.ndarray:
-    """Position of the anchor of the window from every position on."""
-    value = gram_hashes(raw)
+def anchors(grams: np.ndarray, length: int) -> np.ndarray:
+    """Position of the anchor of the window from every position on; ``grams``: hashes of all grams."""
+    value = grams
     place = np.arange(len(value), dtype=np.int32)
     width, have = length - GRAM + 1, 1
 
@@ -95,8 +95,8 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if len(raw) < length:
         return none
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    place = anchors(raw, length)
     grams = gram_hashes(raw)
+    place = anchors(grams, length)
     live = np.zeros(len(place), dtype=bool)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.maximum(sizes, 0))
     windows = np.maximum(0, sizes - length + 1)

@@ -12,6 +12,8 @@ the next free place of their groups. No text is renamed and nothing recurses.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -29,9 +31,11 @@ def suffix_array(codes: np.ndarray) -> list[int]:
     group_of = np.empty(n, dtype=np.int64)
     group_of[n - 1] = 0
     group_of[first] = begin
-    at, group = at.tolist(), group_of.tolist()
+    # one object a number, so that reading the lists stays within the processor's cache
+    number = list(range(n))
+    sa, at, group = (list(map(number.__getitem__, x)) for x in (sa, at.tolist(), group_of.tolist()))
     size = np.bincount(group_of, minlength=n).tolist()
-    prev = [-1] * n
+    prev = [-1] * n  # -1 stands for the end too: its group is below every other, so that searches stop there
 
     def lift_one(p: int) -> None:
         g = group[p]
@@ -49,7 +53,7 @@ def suffix_array(codes: np.ndarray) -> list[int]:
         start = group[i]
         if start == end:  # a group of one, the most frequent case
             p = i - 1
-            while p >= 0 and group[p] >= start:
+            while group[p] >= start:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
@@ -61,11 +65,11 @@ def suffix_array(codes: np.ndarray) -> list[int]:
             if j < i:
                 i, j = j, i
             p = i - 1
-            while p >= 0 and group[p] >= start:
+            while group[p] >= start:
                 p = prev[p]
             prev[i] = p
             q = j - 1
-            while q >= 0 and group[q] >= start:
+            while group[q] >= start:
                 q = prev[q]
             prev[j] = q
             if p == q:
@@ -89,24 +93,24 @@ def suffix_array(codes: np.ndarray) -> list[int]:
                     group[p] = group[q] = to
             end = start - 1
             continue
-        pointed: dict[int, int] = {}
+        hits = []
         for i in sorted(sa[start : end + 1]):
             p = i - 1
-            while p >= 0 and group[p] >= start:
+            while group[p] >= start:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
+                hits.append(p)
+        if len(set(hits)) == len(hits):  # each is pointed at once, the most frequent case
+            _lift(hits, sa, at, group, size)
+        else:
+            pointed = Counter(hits)
             counts = set(pointed.values())
-            if len(counts) == 1:
-                _lift(pointed, sa, at, group, size)
-            else:
-                for k in sorted(counts, reverse=True):
-                    _lift([p for p, c in pointed.items() if c == k], sa, at, group, size)
+            for k in sorted(counts, reverse=True):
+                _lift([p for p, c in pointed.items() if c == k] if len(counts) > 1 else pointed, sa, at, group, size)
         end = start - 1
 
-    free = list(range(n))  # next place of a group, at its start
+    free = number  # next place of a group, at its start
     out = [0] * n
     out[0], group[n - 1] = n - 1, -1  # -1: placed
     for i in range(n):
@@ -125,17 +129,21 @@ def suffix_array(codes: np.ndarray) -> list[int]:
 
 def _lift(members, sa: list[int], at: list[int], group: list[int], size: list[int]) -> None:
     """Moves each member to a new group just above what is left of its group."""
-    moved: dict[int, int] = {}
+    whole: dict[int, int] = {}
     for p in members:
         g = group[p]
-        k = moved.get(g, 0) + 1
-        moved[g] = k
-        to = g + size[g] - k  # the back of the group, before those moved already
+        left = size[g]
+        if g not in whole:
+            whole[g] = left
+        size[g] = left = left - 1
+        to = g + left  # the back of the group, before those moved already
         here, other = at[p], sa[to]
         sa[here], sa[to], at[other], at[p] = other, p, here, to
-    for g, k in moved.items():
-        left = size[g] - k
+    for g, n in whole.items():
+        left = size[g]
         if left:
-            size[g], size[g + left] = left, k
-            for to in range(g + left, g + left + k):
-                group[sa[to]] = g + left
+            size[g + left] = n - left
+            for p in sa[g + left : g + n]:
+                group[p] = g + left
+        else:
+            size[g] = n

@@ -348,6 +348,17 @@ def test_long_texts_are_encoded_in_portions(monkeypatch):
 
 
 # 5
+def test_grams_are_hashed_once(monkeypatch):
+    """A batch's grams were hashed for the anchors and once more for their values."""
+    calls, hashes = [], exact_substrings.gram_hashes
+    monkeypatch.setattr(exact_substrings, "gram_hashes", lambda raw: calls.append(len(raw)) or hashes(raw))
+    x = [prose(1, 200).encode(), b"", prose(2, 90).encode()]
+    which, start, n, rel, gram, _ = exact_substrings.runs_of(x, 100)
+    assert calls == [sum(map(len, x))]
+    assert gram.tolist() == [hashes(np.frombuffer(x[w][at : at + exact_substrings.GRAM], np.uint8)).view(np.int64)[0] for w, at in zip(which.tolist(), (start + rel).tolist(), strict=True)]
+    assert n.sum() == sum(max(0, len(t) - 99) for t in x)
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for _ in range(400):
